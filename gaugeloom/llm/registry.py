@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("fingerprint", "token_files", "packing", "decontaminate", "jaccard_join")
+MODULES = ("fingerprint", "token_files", "packing", "decontaminate", "jaccard_join", "secrets")
 
 
 def queries() -> dict:

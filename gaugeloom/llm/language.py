@@ -4,7 +4,8 @@ A text's vector counts hashed byte bigrams and trigrams of its lower-cased UTF-8
 as a space), log(1 + count) times the inverse document frequency, with length 1.  Each language has CLUSTERS
 centroids, by spherical k-means.  A text gets the language of the centroid with the largest
 cosine, which is also its score, over the whole text.  It is rejected if the distance 1 - cosine is beyond the
-language's: SLACK times what all but a FAR_SHARE of its training texts keep to, or beyond MOST_DISTANT.
+language's: SLACK times what all but a FAR_SHARE of its training texts keep to, within LEAST_DISTANT and MOST_DISTANT,
+so that short texts stay.
 
 The centroids and document frequencies are fitted on a bounded sample, about SAMPLE texts of each
 language chosen by the hash of their ids; each language is fitted in a task of its own, with at most
@@ -34,6 +35,7 @@ ROUNDS = 12
 SLOTS = 1 << 12
 FAR_SHARE = 0.002
 SLACK = 1.15
+LEAST_DISTANT = 0.9
 MOST_DISTANT = 0.97
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -135,7 +137,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     made = sorted(found.groupBy("lang").applyInPandas(centroids, "lang string, centre binary, far double").collect(), key=lambda r: (r.lang, r.centre))
     if not made:
         return None
-    far = np.minimum(MOST_DISTANT, SLACK * np.array([r.far for r in made]))
+    far = np.clip(SLACK * np.array([r.far for r in made]), LEAST_DISTANT, MOST_DISTANT)
     return Model(np.stack([np.frombuffer(r.centre, "<f4") for r in made]), [r.lang for r in made], far, idf)
 
 

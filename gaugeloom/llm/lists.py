@@ -7,11 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SCHEMA = "a bigint, b bigint, token bigint"
+SCHEMA = "a bigint, b bigint, value_a bigint, value_b bigint, met bigint, token bigint"
+#: What a pair from a long list counts, as it meets its hub only in some of the lists that both are in.
+FREE = 1 << 40
 
 
 class Lists:
-    """From entries (token, id, ...) sorted by token: candidate pairs (a, b), and the tokens of long lists.
+    """From entries (token, id, value, ...) sorted by token: candidate pairs (a, b), with their values and in how many
+    short lists they met, and the tokens of long lists.
 
     Lists of up to `longest` entries give all pairs that may link, longer ones pairs with the entry before and with a hub.
     At most one list of up to `longest` entries, a hub and a last one are carried from batch to batch.
@@ -29,10 +32,11 @@ class Lists:
         return len(rows[0])
 
     def _ok(self, rows: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        ok, ids = self.may_link(rows, x, y), rows[1]
-        pairs = np.stack([ids[x[ok]], ids[y[ok]]], 1)
-        pairs.sort(axis=1)
-        return pairs
+        ok = self.may_link(rows, x, y)
+        x, y = x[ok], y[ok]
+        turned = rows[1][x] > rows[1][y]
+        x, y = np.where(turned, y, x), np.where(turned, x, y)
+        return np.stack([rows[1][x], rows[1][y], rows[2][x], rows[2][y]], 1).astype(np.int64)
 
     def _short(self, rows: list[np.ndarray]) -> Iterator[np.ndarray]:
         token = rows[0]
@@ -66,12 +70,12 @@ class Lists:
         state = None  # or, if that list is long, its hub and last row
         for batch in batches:
             rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in self.columns]
-            found, hot = [], []
+            found, far, hot = [], [], []
             if state is not None and len(rows[0]):
                 more = int(np.searchsorted(rows[0], state[0][0], "right"))
                 if more:
                     pairs, state = self._long([x[:more] for x in rows], state)
-                    found += pairs
+                    far += pairs
                 rows = [x[more:] for x in rows]
                 if len(rows[0]):
                     state = None
@@ -88,7 +92,7 @@ class Lists:
                         short[f:e] = False
                         hot.append(token[f])
                         pairs, last = self._long([x[f:e] for x in rows], None)
-                        found += pairs
+                        far += pairs
                         if e == len(token):
                             state = last
                 if state is None:
@@ -96,14 +100,19 @@ class Lists:
                     short[first[-1] :] = False
                 if short.any():
                     found += self._short([x[short] for x in rows])
-            yield from self._out(found, hot)
+            yield from self._out(found, far, hot)
         if held is not None:
-            yield from self._out(list(self._short(held)), [])
+            yield from self._out(list(self._short(held)), [], [])
 
     @staticmethod
-    def _out(found: list[np.ndarray], hot: list[int]) -> Iterator[pa.RecordBatch]:
-        pairs = np.unique(np.concatenate([*found, np.empty((0, 2), np.int64)]), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    def _out(found: list[np.ndarray], far: list[np.ndarray], hot: list[int]) -> Iterator[pa.RecordBatch]:
+        none = np.empty((0, 4), np.int64)
+        near, met = np.unique(np.concatenate([*found, none]), axis=0, return_counts=True)
+        away = np.unique(np.concatenate([*far, none]), axis=0)
+        pairs, met = np.concatenate([near, away]), np.concatenate([met, np.full(len(away), FREE)]).astype(np.int64)
+        other = pairs[:, 0] != pairs[:, 1]
+        pairs, met = pairs[other], met[other]
         if len(pairs) or hot:
-            none, tokens = pa.nulls(len(hot), pa.int64()), pa.array(np.array(hot, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(pairs[:, 0]), none]), pa.concat_arrays([pa.array(pairs[:, 1]), none]), pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), tokens])], ["a", "b", "token"])
+            empty = pa.nulls(len(hot), pa.int64())
+            columns = [pa.concat_arrays([pa.array(x), empty]) for x in (*pairs.T, met)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(np.array(hot, np.int64))])], ["a", "b", "value_a", "value_b", "met", "token"])

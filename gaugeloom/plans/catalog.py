@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("agents",)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").count()
+    return queries()["consistency_score"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in import_module(f"{__package__}.{m}").QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, sql in import_module(f"{__package__}.{m}").ORACLES.items()}

@@ -44,7 +44,7 @@ def severity(rate: Column) -> Column:
 
 
 def mutation(score: Column) -> Column:
-    return ladder(score, [(0.90, "EXCELLENT"), (0.80, "GOOD"), (0.70, "ACCEPTABLE"), (0.60, "WEAK")], "POOR")
+    return ladder(score, [(0.90, "STRONG"), (0.80, "ADEQUATE"), (0.70, "MARGINAL"), (0.60, "WEAK")], "DANGEROUS")
 
 
 def coherence(score: Column) -> Column:

@@ -117,7 +117,7 @@ def average_ranks(df: DataFrame, x: str, out: str) -> DataFrame:
 def calibration(df: DataFrame, judge: str, human: str, tolerance: float = 0.15, min_agreement: float = 0.80, min_spearman: float = 0.70) -> DataFrame:
     """One row: n, agreement, spearman (0 if undefined), bias, passed.  Fewer than 5 rows don't pass."""
     both = average_ranks(average_ranks(df.select(judge, human), judge, "_rj"), human, "_rh")
-    out = both.agg(F.count("*").alias("n"), F.avg((F.abs(F.col(judge) - F.col(human)) <= tolerance).cast("int")).alias("agreement"), F.corr("_rj", "_rh").alias("rho"), (F.avg(judge) - F.avg(human)).alias("bias"))
+    out = both.agg(F.count("*").alias("n"), F.avg((F.abs(F.col(judge) - F.col(human)) <= tolerance).cast("int")).alias("agreement"), F.try_divide(F.covar_pop("_rj", "_rh"), F.stddev_pop("_rj") * F.stddev_pop("_rh")).alias("rho"), (F.avg(judge) - F.avg(human)).alias("bias"))
     rho = F.coalesce(F.nanvl("rho", F.lit(0.0)), F.lit(0.0))
     return out.select("n", "agreement", rho.alias("spearman"), "bias", ((F.col("n") >= 5) & (F.col("agreement") >= min_agreement) & (rho >= min_spearman)).alias("passed"))
 

@@ -1,0 +1 @@
+"""Scans of and sinks for evaluation data."""

@@ -1,0 +1,68 @@
+import json
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from gaugeloom.functions import slots
+from gaugeloom.plans import agents, streams
+from gaugeloom.sources import scans, sinks
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_scans(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"input": "a", "output": "b"}\n\n{"output": "no input"}\nbroken\n')
+    good, bad = scans.cases(spark, str(tmp_path / "c.jsonl"))
+    assert good.count() == 1 and bad.count() == 2
+    (tmp_path / "h.jsonl").write_text('{"input": "a", "output": "b", "human_score": 0.5}\n{"input": "a", "output": "b", "human_score": 1.5}\n')
+    good, bad = scans.human_labels(spark, str(tmp_path / "h.jsonl"))
+    assert good.count() == 1 and bad.count() == 1
+    (tmp_path / "m.json").write_text(json.dumps([{"role": "user", "content": "x"}, {"role": "assistant", "content": "y"}]))
+    assert [(r.turn, r.role) for r in scans.messages(spark, str(tmp_path / "m.json")).orderBy("turn").collect()] == [(0, "user"), (1, "assistant")]
+    (tmp_path / "t.json").write_text(json.dumps({"goal": "g", "steps": ["one", {"output": "two"}]}))
+    assert [r.output for r in scans.step_traces(spark, str(tmp_path / "t.json")).orderBy("step").collect()] == ["one", "two"]
+    (tmp_path / "l.txt").write_text(" a \n\n b\n")
+    assert sorted(r.output for r in scans.output_lines(spark, str(tmp_path / "l.txt")).collect()) == ["a", "b"]
+    files = spark.createDataFrame([("prompts/a.txt",), ("prompts/x/b.txt",), ("src/c.py",), ("prompts/a.txt",)], "p string")
+    assert {r.p for r in scans.matching_files(files, "p", ["prompts/**/*.txt"]).collect()} == {"prompts/a.txt", "prompts/x/b.txt"}
+
+
+def test_sinks(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    sinks.append_evals(spark.createDataFrame([(1, "x" * 900)], "id int, input string"), path)
+    sinks.append_evals(spark.createDataFrame([(2, "y")], "id int, input string"), path)
+    assert {len(r.input) for r in spark.read.parquet(path).collect()} == {500, 1}
+    sinks.delete(spark, path, spark.createDataFrame([(1,)], "id int"), "id", str(tmp_path / "after"))
+    assert spark.read.parquet(str(tmp_path / "after")).count() == 1
+    up = str(tmp_path / "up")
+    for seq, v in ((1, "a"), (2, "b")):
+        sinks.upsert(spark.createDataFrame([(7, v, seq)], "id int, v string, _seq int"), up)
+    assert [r.v for r in sinks.read_upserted(spark, up, ["id"]).collect()] == ["b"]
+    df = spark.createDataFrame([(1, 0.5), (2, 1.0)], "id int, s double")
+    assert sinks.from_json(sinks.as_json(df), "id int, s double").exceptAll(df).count() == 0
+    assert sinks.bars(df, "id", "s").orderBy("id").collect()[0].line.count("█") == 5
+
+
+def test_slots(spark):
+    @slots.register_eval("length")
+    def length(a: pd.Series, b: pd.Series) -> pd.Series:
+        return b.str.len() / 2
+
+    df = spark.createDataFrame([("a", "b"), ("a", "bbbb")], "x string, y string")
+    assert [r.s for r in df.select(slots.custom_eval("length", F.col("x"), F.col("y")).alias("s")).collect()] == [0.5, 1.0]
+    v = [r.v for r in df.select(slots.embed(F.col("x")).alias("v")).collect()]
+    assert v[0] == v[1] and sum(x * x for x in v[0]) == pytest.approx(1)
+    out = slots.run_agent(df, "x", lambda p: p.str.upper(), runs=3)
+    assert out.count() == 6 and {r.output for r in out.collect()} == {"A"}
+
+
+def test_stream_equals_batch(spark):
+    stream = {(r.user_id, r.step, r.pathology, r.severity, r.confidence) for r in streams.stream_patrol(spark, SF).collect()}
+    batch = {(r.user_id, r.step, r.pathology, r.severity, r.confidence) for r in agents.patrol_best(spark, SF).collect()}
+    assert stream == batch and stream
+
+
+def test_other_streams_run(spark):
+    assert streams.stream_livelock(spark, SF).count() > 0
+    assert streams.stream_violation_rate(spark, SF).columns == ["start", "event_type", "n", "rate", "severity"]

@@ -109,8 +109,8 @@ def scan(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
 
 def drop_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = N, least_share: float = 0.0) -> DataFrame:
     """The documents of whose words at most `least_share` are hit, with all their columns."""
-    scanned = scan(docs, items, key, text, item_key, item_text, n).where(F.col("n_hit") > least_share * F.col("n_words")).select(F.col(key).alias("_hit")).distinct()
-    return docs.join(scanned, docs[key].eqNullSafe(F.col("_hit")), "left_anti")
+    scanned = scan(docs, items, key, text, item_key, item_text, n).where(F.col("n_hit") > least_share * F.col("n_words")).select(F.col(key).alias("_gaugeloom_hit")).distinct()
+    return docs.join(scanned, docs[key].eqNullSafe(F.col("_gaugeloom_hit")), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,25 +250,29 @@ def _words_of(batches):
             yield pa.RecordBatch.from_arrays([batch.column("toxic").take(pa.array(rows)), pa.array([list({w for w in own[a:b] if 3 <= len(w) <= WORD}) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.list_(pa.string()))], ["toxic", "words"])
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model | None:
-    """From rows with a label of 0 or 1."""
-    rows = labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), (F.col(label) > 0).cast("int").alias("toxic"))
-    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model | None:
+    """From labels, rows of key and a label of 0 or 1, and the texts of those that are sampled; these
+    rows, about `sample` of each label, are broadcast, so the documents aren't shuffled."""
+    marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.max(label) > 0).cast("int").alias("toxic"))
+    sizes = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
     share = F.when(F.col("toxic") == 1, int(min(1.0, sample / sizes[1]) * 1_000_000)).otherwise(int(min(1.0, sample / sizes[0]) * 1_000_000))
-    chosen = keep(rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share), "labelled")
+    few = keep(marked.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share), "sampled")
+    chosen = keep(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(few), "key"), "labelled")
     used = chosen.mapInArrow(_words_of, "toxic int, words array<string>").select("toxic", F.explode("words").alias("w"))
     counts = keep(used.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where("t + c > 1"), "words")
     odds = min(1.0, sample / sizes[1]) * sizes[1] / (min(1.0, sample / sizes[0]) * sizes[0])
     # of the sample's words, whose texts are bounded
-    telling = {r.w: r.t for r in counts.where(f"t >= {LEAST_TEXTS} AND t >= {TIMES * odds:.9f} * c").collect()}
-    other = {r.w: r.c for r in counts.where("c > 0").orderBy(F.desc("c"), "w").limit(200_000).collect()}
+    table_of = lambda df: dict(zip(*[c.to_pylist() for c in df.toArrow().columns], strict=True))
+    telling = table_of(counts.where(f"t >= {LEAST_TEXTS} AND t >= {TIMES * odds:.9f} * c").select("w", "t"))
+    starts = F.array([F.lit(w[: STEM.start]) for w in sorted({w[: STEM.start] for w in telling})]) if telling else F.array().cast("array<string>")
+    other = table_of(counts.where((F.col("c") > 0) & F.array_contains(starts, F.left("w", F.lit(STEM.start)))).select("w", "c"))
     chosen_stems = stems(telling, other, odds)
     if not chosen_stems:
         return None
     landmarks = Landmarks(chosen_stems)
-    shared = labelled.sparkSession.sparkContext.broadcast(landmarks)
+    shared = docs.sparkSession.sparkContext.broadcast(landmarks)
 
     def features(batches):
         for batch in batches:
@@ -277,8 +281,8 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
                 per = [values[owner == i].astype("<f4") for i in range(len(rows))]
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").take(pa.array(rows)), pa.array([v.tobytes() for v in per]), pa.array(count_words(data, offsets))], ["toxic", "values", "n"])
 
-    got = chosen.mapInArrow(features, "toxic int, values binary, n bigint").collect()  # the sample's sentences with a landmark
-    y = np.array([1 if r.toxic else -1 for r in got])
+    got = chosen.mapInArrow(features, "toxic int, values binary, n bigint").toArrow().to_pylist()  # the sample's sentences with a landmark
+    y = np.array([1 if r["toxic"] else -1 for r in got])
     raw = [np.frombuffer(r["values"], "<f4").reshape(-1, len(chosen_stems)) for r in got]
     per = [landmarks.map(x) for x in raw]
     per = [x if len(x) else np.zeros((1, len(chosen_stems))) for x in per]
@@ -297,7 +301,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
         pick = new
     model = Model(landmarks, w, b)
     owner = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
-    model.curve = logistic(model.features(len(raw), owner, np.concatenate(raw), np.array([r.n for r in got])), y)
+    model.curve = logistic(model.features(len(raw), owner, np.concatenate(raw), np.array([r["n"] for r in got])), y)
     # the sample may hold more toxic texts than there are: shift to the labels' own odds
     model.curve[-1] += np.log(sizes[1] / sizes[0]) - np.log(odds)
     return model
@@ -325,8 +329,7 @@ def held_out(key: Column) -> Column:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = fit(docs.join(labels, "doc_id"))
+    model = fit(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
     return score(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -191,12 +191,12 @@ def test_toxicity(spark, hard, empty):
             w[random.randrange(40)] = random.choice(["zorgwit", "quabbel"])
         rows.append((i, " ".join(w) + ".", bad))
     df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
-    model = toxicity.fit(df.where("doc_id < 600"))
+    model = toxicity.fit(df, df.where("doc_id < 600").select("doc_id", "toxic"))
     got = toxicity.score(df.where("doc_id >= 600"), model).collect()
     assert sum((r.score >= 0.7) == bool(r.toxic) for r in got) >= 297
     gapped = spark.createDataFrame([("then z-o-r-g-w-i-t worely.",), ("then zorxgwit worely.",), ("then z o r g w i t worely.",), ("then worely tauly.",)], "text string")
     scores = [r.score for r in toxicity.score(gapped, model).collect()]
     assert min(scores[:3]) > 0.5 > scores[3]
     assert toxicity.score(hard.drop("score"), model).count() == 10 and toxicity.score(empty, model).count() == 0
-    assert toxicity.fit(df.where("toxic = 0")) is None
+    assert toxicity.fit(df, df.where("toxic = 0")) is None
     assert {r.score for r in toxicity.score(gapped, None).collect()} == {0.0}

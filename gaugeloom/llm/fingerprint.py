@@ -58,9 +58,13 @@ def distinct_shingles(sketch: Column, k: int = K) -> Column:
 
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
-    """Estimated share of a's shingles that b has; 1 for an empty a."""
-    j = resemblance(a, b, k)
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), j / (1 + j) * (distinct_shingles(a, k) + distinct_shingles(b, k)) / distinct_shingles(a, k)))
+    """Estimated share of a's shingles that b has; 1 for an empty a, 0 if a has none as small as both sketches reach.
+
+    Hashes up to the smaller reach are a sample of a's, all of which b's sketch would hold.
+    """
+    reach = lambda s: F.when(F.size(s) >= k, F.element_at(s, -1)).otherwise(F.lit(2**63 - 1))
+    sampled = F.size(F.filter(a, lambda h: h <= F.least(reach(a), reach(b))))
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(sampled == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.size(F.array_intersect(a, b)) / sampled))
 
 
 def merge(df: DataFrame, group: str, sketch: str, k: int = K, fan: int = 64) -> DataFrame:

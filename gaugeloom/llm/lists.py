@@ -87,14 +87,14 @@ class Lists:
                 first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
                 ends = np.concatenate([first[1:], [len(token)]])
                 short = np.ones(len(token), bool)
-                for f, e in zip(first, ends, strict=True) if (ends - first).max() > self.longest else ():
-                    if e - f > self.longest:
-                        short[f:e] = False
-                        hot.append(token[f])
-                        pairs, last = self._long([x[f:e] for x in rows], None)
-                        far += pairs
-                        if e == len(token):
-                            state = last
+                for i in np.flatnonzero(ends - first > self.longest):
+                    f, e = first[i], ends[i]
+                    short[f:e] = False
+                    hot.append(token[f])
+                    pairs, last = self._long([x[f:e] for x in rows], None)
+                    far += pairs
+                    if e == len(token):
+                        state = last
                 if state is None:
                     held = [x[first[-1] :] for x in rows]
                     short[first[-1] :] = False

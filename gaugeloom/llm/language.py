@@ -4,8 +4,9 @@ A text's vector counts hashed byte bigrams and trigrams of its lower-cased UTF-8
 as a space), log(1 + count) times the inverse document frequency, with length 1.  Each language has CLUSTERS
 centroids, by spherical k-means.  A text gets the language of the centroid with the largest
 cosine, which is also its score, over the whole text.  It is rejected if the distance 1 - cosine is beyond the
-language's: SLACK times what all but a FAR_SHARE of its training texts keep to, within LEAST_DISTANT and MOST_DISTANT,
-so that short texts stay.
+language's for texts of that length: SLACK times what all but a FAR_SHARE of the training texts, and of pieces of them, of about as
+many n-grams keep to, and MOST_DISTANT at most.  Bands of length are powers of two; a longer band's limit is never wider, and texts of
+fewer than 2 ** FIRST_BAND n-grams have SHORT_DISTANT, or the first band's if that is wider.
 
 The centroids and document frequencies are fitted on a bounded sample, about SAMPLE texts of each
 language chosen by the hash of their ids; each language is fitted in a task of its own, with at most
@@ -35,8 +36,9 @@ ROUNDS = 12
 SLOTS = 1 << 12
 FAR_SHARE = 0.002
 SLACK = 1.15
-LEAST_DISTANT = 0.9
 MOST_DISTANT = 0.97
+SHORT_DISTANT = 0.9
+FIRST_BAND, BANDS = 6, 14
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 _LETTERS = np.full(256, 32, np.uint8)
@@ -96,8 +98,35 @@ def _sample_counts(batches):
             yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(rows)), pa.array([r.astype("<u4").tobytes() for r in counts(part, "text")])], ["lang", "counts"])
 
 
+def band(n: np.ndarray) -> np.ndarray:
+    return np.clip(np.log2(np.maximum(n.sum(axis=1), 1)).astype(int), 0, BANDS - 1)
+
+
+def _pieces(text: str) -> list[str]:
+    """The text, and for each band of shorter ones its beginning and its middle of such a length."""
+    out = [text]
+    for b in range(FIRST_BAND, BANDS):
+        size = (1 << (b - 1)) + 2
+        if size < len(text):
+            middle = (len(text) - size) // 2
+            out += [text[:size], text[middle : middle + size]]
+    return out
+
+
+def _limits(rows: list, languages: list[str]) -> np.ndarray:
+    """For each centroid and band the largest distance; rows are of lang, band and far."""
+    far = {(r.lang, r.band): r.far for r in rows}
+    out = np.full((len(languages), BANDS), MOST_DISTANT)
+    for i, name in enumerate(languages):
+        at = MOST_DISTANT
+        for b in range(FIRST_BAND, BANDS):
+            out[i, b] = at = min(at, SLACK * far.get((name, b), at))
+        out[i, :FIRST_BAND] = max(SHORT_DISTANT, out[i, FIRST_BAND])
+    return out
+
+
 class Model:
-    """Centroids, the language of each and its largest distance, and the inverse document frequencies."""
+    """Centroids, the language of each and its largest distance for each band, and the inverse document frequencies."""
 
     def __init__(self, centres: np.ndarray, languages: list[str], distances: np.ndarray, idf: np.ndarray) -> None:
         self.centres, self.languages, self.distances, self.idf = centres, languages, distances, idf
@@ -118,6 +147,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     for name, k in sorted(sizes.items()):
         share = F.when(F.col("lang") == name, int(min(1.0, sample / k) * 1_000_000)).otherwise(share)
     chosen = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share).select("lang", "text")
+    chosen = keep(chosen, "chosen")
     found = keep(chosen.mapInArrow(_sample_counts, "lang string, counts binary"), "ngrams")
     as_matrix = lambda pdf: np.stack([np.frombuffer(x, "<u4") for x in pdf["counts"].iloc[: 2 * sample]])
 
@@ -130,15 +160,26 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
         x = vectors(as_matrix(pdf), idf)
-        centres = k_means(x)
-        far = float(np.quantile(1 - (x @ centres.T).max(axis=1), 1 - FAR_SHARE))
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centre": [c.astype("<f4").tobytes() for c in centres], "far": far})
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centre": [c.astype("<f4").tobytes() for c in k_means(x)]})
 
-    made = sorted(found.groupBy("lang").applyInPandas(centroids, "lang string, centre binary, far double").collect(), key=lambda r: (r.lang, r.centre))
+    made = sorted(found.groupBy("lang").applyInPandas(centroids, "lang string, centre binary").collect(), key=lambda r: (r.lang, r.centre))
     if not made:
         return None
-    far = np.clip(SLACK * np.array([r.far for r in made]), LEAST_DISTANT, MOST_DISTANT)
-    return Model(np.stack([np.frombuffer(r.centre, "<f4") for r in made]), [r.lang for r in made], far, idf)
+    model = Model(np.stack([np.frombuffer(r.centre, "<f4") for r in made]), [r.lang for r in made], np.full((len(made), BANDS), MOST_DISTANT), idf)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def distances(batches):
+        for batch in batches:
+            texts = [p for t in batch.column("text").to_pylist() if LETTER.search(t) for p in _pieces(t)]
+            for _, part in _lowered(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}), "text"):
+                n = counts(part, "text")
+                best, cosine = shared.value.nearest(n)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([shared.value.languages[i] for i in best], pa.string()), "band": pa.array(band(n)), "d": pa.array(1 - cosine)})
+
+    seen = chosen.mapInArrow(distances, "lang string, band bigint, d double")
+    # a row for each language and band
+    model.distances = _limits(seen.groupBy("lang", "band").agg(F.percentile("d", 1 - FAR_SHARE).alias("far")).collect(), model.languages)
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
@@ -151,10 +192,11 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tup
             texts = batch.column(text)
             lang, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
             for rows, part in _lowered(batch, text) if model else ():
-                best, cosine = model.nearest(counts(part, "text"))
-                for row, b, c, low in zip(rows, best, cosine, part.column("text").to_pylist(), strict=True):
+                n = counts(part, "text")
+                best, cosine = model.nearest(n)
+                for row, b, c, limit, low in zip(rows, best, cosine, model.distances[best, band(n)], part.column("text").to_pylist(), strict=True):
                     if LETTER.search(low):
-                        lang[row], score[row], rejected[row] = model.languages[b], c, 1 - c > model.distances[b]
+                        lang[row], score[row], rejected[row] = model.languages[b], c, 1 - c > limit
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*batch.schema.names, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -137,6 +137,22 @@ def test_language_rejects_what_is_far(spark):
     assert [r.rejected for r in got] == [False, True]
 
 
+def test_language_rejects_random_letters_code_and_unseen_languages(spark):
+    rng = random.Random(12)
+    pool = {"en": "the of and to in is that it was for on with his they at be this have from or by word but what all were when we there can an your".split(), "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird".split()}
+    rows = [(i, " ".join(rng.choices(pool[g], k=rng.randint(30, 150))), g) for i, g in enumerate(rng.choices(list(pool), k=400))]
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    far = [
+        " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(80)),
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä",
+        "static void *xmalloc(size_t n) { void *p = malloc(n); if (!p) abort(); return p; } struct node { struct node *next; int key; }; #define MAX(x, y) ((x) > (y) ? (x) : (y))",
+    ]
+    far += [" ".join("".join(rng.sample(w, len(w))) for w in rng.choices(pool[g], k=80)) for g in pool]  # the languages' own letters in random order
+    near = [" ".join(rng.choices(pool[g], k=k)) for g in pool for k in (3, 6, 12, 40, 100)]
+    got = language.predict(spark.createDataFrame([(t,) for t in far + near], "text string"), model).collect()
+    assert [r.rejected for r in got] == [True] * len(far) + [False] * len(near)
+
+
 def test_secrets(spark, hard, empty):
     key = "b7db7aa4a5fcc78305b7db7aa4a5fcc7"
     rows = [

@@ -3,8 +3,8 @@
 Words are what stands between white space, lower-cased, with all but letters taken out, so signs within a word don't
 hide it; single letters in a row are one word.  The kernel of order ORDER counts the subsequences that two strings share, each
 with DECAY to the power of the length it spans in both: letters put in between weaken a match, they don't
-end it.  It is taken between a word, with a mark at its beginning, and a landmark, and is 0 for words that lack one of the
-landmark's letters.  A sentence has, for each landmark, the sum of its words' kernel values; the landmarks' own kernel matrix to
+end it.  It is taken between a word, with a mark at its beginning, and a landmark; words that have too few of the landmark's letters for a common
+subsequence, whose kernel is 0, are passed over.  A sentence has, for each landmark, the sum of its words' kernel values; the landmarks' own kernel matrix to
 the power -1/2 maps these to a vector.  A linear SVM scores each sentence.  A logistic curve turns a text's
 largest margin, the sum of its margins above that of a sentence without matches, and each landmark's sum, whole and for its number
 of words, into its score.
@@ -95,6 +95,13 @@ def one(word: bytes, landmark: bytes) -> float:
     return float(kernel(np.frombuffer(word, np.uint8)[None], landmark)[0])
 
 
+def _least_letters(landmark: bytes) -> int:
+    """How many different letters' bits a word has at least of the landmark's if their kernel isn't 0; the mark may be one match."""
+    bits = _BIT[np.frombuffer(landmark.removeprefix(START), np.uint8)]
+    most = np.cumsum(np.sort(np.unique(bits, return_counts=True)[1])[::-1])
+    return int(np.searchsorted(most, min(ORDER, len(landmark)) - landmark.startswith(START))) + 1
+
+
 class Landmarks:
     def __init__(self, strings: list[bytes]) -> None:
         self.strings = strings
@@ -104,6 +111,7 @@ class Landmarks:
         good = values > 1e-4 * values.max()
         self.root = (vectors[:, good] / np.sqrt(values[good])) @ vectors[:, good].T
         self.masks = np.array([np.bitwise_or.reduce(_BIT[np.frombuffer(s, np.uint8)]) for s in strings], np.uint32)
+        self.least = np.array([_least_letters(s) for s in strings])
 
     def sentences(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, kernel values with each landmark, by its own length) of the sentences that have any."""
@@ -127,27 +135,25 @@ class Landmarks:
             mask = np.bitwise_or.reduceat(bits, begin)
         else:
             mask = np.array([np.bitwise_or.reduce(bits[b : b + s]) for b, s in zip(begin, size, strict=True)], np.uint32)
-        found = []
-        for k, m in enumerate(self.masks):
-            hit = np.flatnonzero((mask & m) == m)
-            hit = hit[size[hit] >= len(self.strings[k]) - 1]
-            if not len(hit):
+        hashes = B.word_hashes(letters, begin, begin + size) ^ whole.astype(B.U)
+        _, one_of, back = np.unique(hashes, return_index=True, return_inverse=True)
+        mask, begin, size, whole = mask[one_of], begin[one_of], size[one_of], whole[one_of]
+        values = np.zeros((len(one_of), len(self.strings)), np.float32)
+        for least, most in ((0, 6), (6, 10), (10, 16), (16, WORD)):
+            some = np.flatnonzero((size > least) & (size <= most))
+            if not len(some):
                 continue
-            width = int(size[hit].max())
-            place = begin[hit, None] + np.arange(width)
-            strings = np.where(np.arange(width) < size[hit, None], letters[np.minimum(place, len(letters) - 1)], 0)
-            strings = np.concatenate([whole[hit, None], strings], 1)
-            distinct, back = np.unique(strings, axis=0, return_inverse=True)
-            values = kernel(distinct, self.strings[k]) * np.float32(self.scale[k] ** 2)
-            found.append((sentence[hit], text[hit], np.full(len(hit), k), np.minimum(values, 1.5)[back.ravel()]))
-        if not found:
-            return none
-        s, t, k, v = (np.concatenate(x) for x in zip(*found, strict=True))
-        ids, row = np.unique(s, return_inverse=True)
-        out, owner = np.zeros((len(ids), len(self.strings)), np.float32), np.zeros(len(ids), np.int64)
-        np.add.at(out, (row, k), v)
-        owner[row] = t
-        return owner, out
+            place = begin[some, None] + np.arange(most)
+            strings = np.where(np.arange(most) < size[some, None], letters[np.minimum(place, len(letters) - 1)], 0)
+            strings = np.concatenate([whole[some, None], strings], 1)
+            for k, m in enumerate(self.masks):
+                hit = np.flatnonzero(np.bitwise_count(mask[some] & m) >= self.least[k])
+                if len(hit):
+                    values[some[hit], k] = np.minimum(kernel(strings[hit], self.strings[k]) * np.float32(self.scale[k] ** 2), 1.5)
+        first = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
+        out = np.add.reduceat(values[back.ravel()], first, axis=0)
+        has = out.any(axis=1)
+        return (text[first[has]], out[has]) if has.any() else none
 
     def map(self, values: np.ndarray) -> np.ndarray:
         return (values / self.scale) @ self.root if len(values) else np.zeros((0, len(self.strings)))
@@ -190,15 +196,20 @@ def stems(telling: dict[str, int], other: dict[str, int], odds: float, most: int
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss, by Newton steps; the last feature is the constant."""
-    z = np.concatenate([x, np.ones((len(x), 1))], 1)
-    w = np.zeros(z.shape[1])
+    w = np.zeros(x.shape[1] + 1)
+    blocks = [slice(i, i + 20_000) for i in range(0, len(x), 20_000)]
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-3
     for _ in range(rounds):
-        slack = 1 - y * (z @ w)
-        on = slack > 0
-        zi, ci = z[on], c * weight[on]
-        step = np.linalg.solve(ridge + (zi * ci[:, None]).T @ zi, ridge @ w - (zi * (ci * y[on] * slack[on])[:, None]).sum(axis=0))
+        square, slope = ridge.copy(), ridge @ w
+        for at in blocks:
+            z = np.concatenate([x[at], np.ones((len(x[at]), 1))], 1)
+            slack = 1 - y[at] * (z @ w)
+            on = slack > 0
+            zi, ci = z[on], c * weight[at][on]
+            square += (zi * ci[:, None]).T @ zi
+            slope -= (zi * (ci * y[at][on] * slack[on])[:, None]).sum(axis=0)
+        step = np.linalg.solve(square, slope)
         w = w - step
         if np.abs(step).max() < 1e-6:
             break
@@ -222,7 +233,7 @@ class Model:
 
     def features(self, n: int, owner: np.ndarray, values: np.ndarray, n_words: np.ndarray) -> np.ndarray:
         most, total = np.zeros(n), np.zeros(n)
-        margin = self.landmarks.map(values) @ self.w
+        margin = values @ (self.landmarks.root @ self.w / self.landmarks.scale).astype(np.float32)
         np.maximum.at(most, owner, margin)
         np.add.at(total, owner, np.maximum(margin, 0))
         sums = np.zeros((n, values.shape[1]))
@@ -284,8 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     got = chosen.mapInArrow(features, "toxic int, values binary, n bigint").toArrow().to_pylist()  # the sample's sentences with a landmark
     y = np.array([1 if r["toxic"] else -1 for r in got])
     raw = [np.frombuffer(r["values"], "<f4").reshape(-1, len(chosen_stems)) for r in got]
-    per = [landmarks.map(x) for x in raw]
-    per = [x if len(x) else np.zeros((1, len(chosen_stems))) for x in per]
+    per = [landmarks.map(x).astype(np.float32) for x in raw]
+    per = [x if len(x) else np.zeros((1, len(chosen_stems)), np.float32) for x in per]
     # of toxic texts the sentence nearest to a landmark to begin with, then the one with the largest margin
     pick = [int(np.argmax((x**2).sum(axis=1))) for x in per]
     negatives = np.concatenate([x for x, v in zip(per, y, strict=True) if v < 0])
@@ -299,8 +310,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         if new == pick:
             break
         pick = new
+    del per, negatives, positives, x
     model = Model(landmarks, w, b)
-    owner = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
+    owner = np.repeat(np.arange(len(raw)), [len(v) for v in raw])
     model.curve = logistic(model.features(len(raw), owner, np.concatenate(raw), np.array([r["n"] for r in got])), y)
     # the sample may hold more toxic texts than there are: shift to the labels' own odds
     model.curve[-1] += np.log(sizes[1] / sizes[0]) - np.log(odds)

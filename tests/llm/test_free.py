@@ -197,6 +197,17 @@ def test_kernel_is_its_definition():
         assert toxicity.one(s.encode(), t.encode()) == pytest.approx(ssk(s, t, toxicity.ORDER, toxicity.DECAY), rel=1e-5)
 
 
+def test_words_with_a_masked_or_dropped_letter_have_their_kernel():
+    strings = [b"\x01stupid", b"\x01moron", b"\x01trash", b"\x01mamama"]
+    landmarks = toxicity.Landmarks(strings)
+    for word in ("st*pid", "stupd", "m0ron", "moro", "tra$h", "trsh", "tretsh", "amam", "quite", "stupidstupidstupidstupid"):
+        data = np.frombuffer(word.encode(), np.uint8)
+        left = b"\x01" + bytes(c for c in word.encode() if 97 <= c <= 122)
+        want = [min(1.5, ssk(left, s, toxicity.ORDER, toxicity.DECAY) / ssk(s, s, toxicity.ORDER, toxicity.DECAY)) for s in strings]
+        got = landmarks.sentences(data, np.array([0, len(data)]))[1]
+        assert (got[0] if len(got) else np.zeros(4)) == pytest.approx(want, rel=1e-4, abs=1e-6)
+
+
 def test_toxicity(spark, hard, empty):
     random.seed(6)
     pool = [a + b + c for a in ("then", "wor", "ta", "mi") for b in ("el", "or", "u") for c in ("ing", "ly", "s")]

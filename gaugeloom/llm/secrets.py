@@ -1,6 +1,6 @@
 """Secret scans with corpus-wide ownership frequency.
 
-Candidates are the base kinds below and `bare`: other strings of 20 to 200 characters of `[A-Za-z0-9+/_=-]`
+Candidates are the base kinds below and `bare`: other strings of 20 characters or more of `[A-Za-z0-9+/_=-]`
 that hold a digit and at least MIN_BITS bits of entropy a character.  Of each candidate's value only a
 hash is kept.  Values are counted over the whole corpus by distinct repository and by distinct owner,
 and each is judged:
@@ -9,7 +9,7 @@ and each is judged:
 * owned: in one owner only, so live-looking;
 * shared: anything between.
 
-A bare candidate is a finding, and so a span, only if its value is owned; base ones always are.  Bare
+A bare candidate is a finding, and so a span, unless its value is an example; base ones always are.  Bare
 candidates that overlap a base span are left out.  Counts are reduced before the shuffle, and a value's
 rows meet only as distinct (value, repository, owner).
 
@@ -62,7 +62,7 @@ def spans(text: str | None) -> list[tuple[int, int, int, str]]:
         taken = [(a, b) for a, _, b, _ in found]
         for m in BARE.finditer(text):
             a, b = m.span()
-            if b - a <= 200 and HAS_DIGIT.search(m[0]) and entropy(m[0]) >= MIN_BITS and not any(x < b and a < y for x, y in taken):
+            if HAS_DIGIT.search(m[0]) and entropy(m[0]) >= MIN_BITS and not any(x < b and a < y for x, y in taken):
                 found.append((a, 3, b, m[0]))
     return sorted(found)
 
@@ -95,7 +95,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: s
     owners, repositories = (uses.select("value", c).distinct().groupBy("value").agg(F.count("*").alias(n)) for c, n in (("owner", "n_owners"), ("repository", "n_repositories")))
     per_value = owners.join(repositories, "value")
     standing = F.when(F.col("n_owners") >= example_owners, "example").when((F.col("n_owners") == 1) & (F.col("n_repositories") == 1), "owned").otherwise("shared")
-    judged = each.join(per_value, "value").withColumn("standing", standing).where("kind <> 'bare' OR standing = 'owned'")
+    judged = each.join(per_value, "value").withColumn("standing", standing).where("kind <> 'bare' OR standing <> 'example'")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     per_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "standing", "n_owners", "n_repositories"))).alias("found"))
     return scanned.select("row", F.col("key").alias(key)).join(per_row, "row", "left").select(key, F.coalesce("found", F.array().cast(per_row.schema["found"].dataType)).alias("found"))

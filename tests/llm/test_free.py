@@ -172,6 +172,13 @@ def test_secrets(spark, hard, empty):
     assert secrets.find(hard).count() == 10 and secrets.find(empty).count() == 0
 
 
+def test_long_and_shared_bare_secrets_are_found(spark):
+    signature = "".join(random.Random(1).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", k=342))
+    rows = [(1, f"jwt {signature} end", "s1"), (2, "key zX9kQ2mN7vB4wL8pR3tY6", "s2"), (3, "zX9kQ2mN7vB4wL8pR3tY6 copied", "s3")]
+    got = {r.doc_id: [(x.kind, x.start, x.end, x.standing) for x in r.found] for r in secrets.find(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert got == {1: [("bare", 4, 346, "owned")], 2: [("bare", 4, 25, "shared")], 3: [("bare", 0, 21, "shared")]}
+
+
 def test_secret_values_in_many_repositories_are_examples(spark):
     rows = [(i, "password=hunter2hunter2", f"s{i}") for i in range(7)] + [(50, "password=onlyhere99", "s1")]
     got = {r.doc_id: r.found[0] for r in secrets.find(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}

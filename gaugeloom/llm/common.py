@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,25 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _own = ""
-_kept: list[tuple[object, str]] = []
+_kept: dict[str, SparkSession] = {}
+_open: list[set[str]] = []
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
+    """A new path in the shared folder, removed when the driver's Python ends, if not before."""
     path = f"{shared_dir(spark)}/gaugeloom-{name}-{uuid.uuid4().hex}"
     if not _kept:
         atexit.register(_drop_all)
-    _kept.append((spark, path))
+    _kept[path] = spark
+    if _open:
+        _open[-1].add(path)
     return path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _kept.pop(path, None)
 
 
 def _drop_all() -> None:
-    for spark, path in _kept:
+    for path, spark in list(_kept.items()):
         if spark._sc._jsc is None:
             continue
         try:
@@ -61,7 +67,38 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     lost executor costs nothing that was written."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._gaugeloom_path = path
+    return back
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that keep() gave and that nothing reads any more."""
+    for t in tables:
+        drop_path(t.sparkSession, t._gaugeloom_path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Removes at its end, or at an error, all that was kept within, but for what was passed to the function it gives."""
+    own: set[str] = set()
+    results: set[str] = set()
+    _open.append(own)
+
+    def hold(df: DataFrame, name: str) -> DataFrame:
+        out = keep(df, name)
+        results.add(out._gaugeloom_path)
+        return out
+
+    try:
+        yield hold
+    finally:
+        _open.remove(own)
+        if _open:
+            _open[-1] |= results
+        for path in own - results:
+            if path in _kept:
+                drop_path(spark, path)
 
 
 def whole_text(column: str = "text"):

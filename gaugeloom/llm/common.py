@@ -7,8 +7,9 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -101,5 +102,14 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
                 drop_path(spark, path)
 
 
+def sampled(key: Column, group: Column, sizes: dict, wanted: int) -> Column:
+    """Whether a row is in the sample of about `wanted` rows of its group, or all if there are fewer.  sizes: rows of each group.
+    A key's 64-bit hash decides, so it holds for groups of any size."""
+    share = F.lit(-1).cast("bigint")
+    for name, n in sorted(sizes.items()):
+        share = F.when(group == name, F.lit(min(1, Fraction(wanted, n)) * ((1 << 63) - 1) // 1).cast("bigint")).otherwise(share)
+    return F.xxhash64(key).bitwiseAND(F.lit((1 << 63) - 1)) <= share
+
+
 def whole_text(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import batches as B
-from .common import keep, table
+from .common import keep, sampled, table
 
 SAMPLE = 1000
 CLUSTERS = 3
@@ -143,10 +143,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    share = F.lit(0)
-    for name, k in sorted(sizes.items()):
-        share = F.when(F.col("lang") == name, int(min(1.0, sample / k) * 1_000_000)).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share).select("lang", "text")
+    chosen = rows.where(sampled(F.col("key"), F.col("lang"), sizes, sample)).select("lang", "text")
     chosen = keep(chosen, "chosen")
     found = keep(chosen.mapInArrow(_sample_counts, "lang string, counts binary"), "ngrams")
     as_matrix = lambda pdf: np.stack([np.frombuffer(x, "<u4") for x in pdf["counts"].iloc[: 2 * sample]])

@@ -3,11 +3,11 @@
 Words are what stands between white space, lower-cased, with all but letters taken out, so signs within a word don't
 hide it; single letters in a row are one word.  The kernel of order ORDER counts the subsequences that two strings share, each
 with DECAY to the power of the length it spans in both: letters put in between weaken a match, they don't
-end it.  It is taken between a word, with a mark at its beginning, and a landmark; words that have too few of the landmark's letters for a common
+end it.  Its POWER is taken between a word, with a mark at its beginning, and a landmark; words that have too few of the landmark's letters for a common
 subsequence, whose kernel is 0, are passed over.  A sentence has, for each landmark, the sum of its words' kernel values; the landmarks' own kernel matrix to
 the power -1/2 maps these to a vector.  A linear SVM scores each sentence.  A logistic curve turns a text's
-largest margin, the sum of its margins above that of a sentence without matches, and each landmark's sum, whole and for its number
-of words, into its score.
+largest margin and the sum of its margins above that of a sentence without matches, whole and for its number
+of words, into its score: nothing but margins goes into it.
 
 Landmarks are stems, beginnings of words, that cover the words that tell toxic from other training texts.  The SVM is trained on
 sentences: of toxic texts the one with the largest margin so far, of others all.  Training takes a bounded
@@ -27,10 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import batches as B
-from .common import keep, table
+from .common import keep, sampled, table
 
 ORDER = 4
 DECAY = 0.7
+#: The kernel that is used is this power of the subsequence kernel, a kernel as well: what many words share with a landmark by chance hardly adds up.
+POWER = 4
 SAMPLE = 4000
 LANDMARKS = 48
 STEM = range(4, 11)
@@ -40,6 +42,8 @@ RIDGE = 0.1
 START = b"\x01"
 #: Letters of a word that are looked at together; longer words are cut into overlapping parts.
 WORD = 32
+#: Words whose kernel values a worker holds, LANDMARKS numbers each: most words of a text have been in another.
+HELD = 1 << 18
 THRESHOLD = 0.7
 _SPACE = ~B.byte_table(bytes([*range(9, 14), *range(28, 33)]))
 _LETTER = np.zeros(256, bool)
@@ -106,12 +110,27 @@ class Landmarks:
     def __init__(self, strings: list[bytes]) -> None:
         self.strings = strings
         own = np.array([[one(a, b) for b in strings] for a in strings])
+        self.unit = 1 / np.diag(own)
+        own = own**POWER
         self.scale = 1 / np.sqrt(np.diag(own))
         values, vectors = np.linalg.eigh(own * self.scale[:, None] * self.scale[None, :])
         good = values > 1e-4 * values.max()
         self.root = (vectors[:, good] / np.sqrt(values[good])) @ vectors[:, good].T
         self.masks = np.array([np.bitwise_or.reduce(_BIT[np.frombuffer(s, np.uint8)]) for s in strings], np.uint32)
         self.least = np.array([_least_letters(s) for s in strings])
+        self.known, self.place, self.held, self.rows = np.empty(0, B.U), np.empty(0, np.int64), np.empty((0, len(strings)), np.float32), 0
+
+    def _remember(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        """Holds the values of up to HELD words, those met first, for the texts to come."""
+        new = min(len(hashes), HELD - self.rows)
+        if new <= 0:
+            return
+        if self.rows + new > len(self.held):
+            self.held = np.concatenate([self.held[: self.rows], np.empty((min(HELD, 2 * (self.rows + new)) - self.rows, self.held.shape[1]), np.float32)])
+        self.held[self.rows : self.rows + new] = values[:new]
+        known, place = np.concatenate([self.known, hashes[:new]]), np.concatenate([self.place, self.rows + np.arange(new)])
+        order = np.argsort(known, kind="stable")
+        self.known, self.place, self.rows = known[order], place[order], self.rows + new
 
     def sentences(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, kernel values with each landmark, by its own length) of the sentences that have any."""
@@ -136,9 +155,21 @@ class Landmarks:
         else:
             mask = np.array([np.bitwise_or.reduce(bits[b : b + s]) for b, s in zip(begin, size, strict=True)], np.uint32)
         hashes = B.word_hashes(letters, begin, begin + size) ^ whole.astype(B.U)
-        _, one_of, back = np.unique(hashes, return_index=True, return_inverse=True)
-        mask, begin, size, whole = mask[one_of], begin[one_of], size[one_of], whole[one_of]
-        values = np.zeros((len(one_of), len(self.strings)), np.float32)
+        distinct, one_of, back = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
+        seen = self.known[at] == distinct if len(self.known) else np.zeros(len(distinct), bool)
+        values = np.empty((len(one_of), len(self.strings)), np.float32)
+        values[seen] = self.held[self.place[at[seen]]]
+        new = one_of[~seen]
+        values[~seen] = own = self._kernels(letters, mask[new], begin[new], size[new], whole[new])
+        self._remember(distinct[~seen], own)
+        first = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
+        out = np.add.reduceat(values[back.ravel()], first, axis=0)
+        has = out.any(axis=1)
+        return (text[first[has]], out[has]) if has.any() else none
+
+    def _kernels(self, letters: np.ndarray, mask: np.ndarray, begin: np.ndarray, size: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        values = np.zeros((len(begin), len(self.strings)), np.float32)
         for least, most in ((0, 6), (6, 10), (10, 16), (16, WORD)):
             some = np.flatnonzero((size > least) & (size <= most))
             if not len(some):
@@ -149,11 +180,8 @@ class Landmarks:
             for k, m in enumerate(self.masks):
                 hit = np.flatnonzero(np.bitwise_count(mask[some] & m) >= self.least[k])
                 if len(hit):
-                    values[some[hit], k] = np.minimum(kernel(strings[hit], self.strings[k]) * np.float32(self.scale[k] ** 2), 1.5)
-        first = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
-        out = np.add.reduceat(values[back.ravel()], first, axis=0)
-        has = out.any(axis=1)
-        return (text[first[has]], out[has]) if has.any() else none
+                    values[some[hit], k] = (kernel(strings[hit], self.strings[k]) * np.float32(self.unit[k])) ** POWER
+        return values
 
     def map(self, values: np.ndarray) -> np.ndarray:
         return (values / self.scale) @ self.root if len(values) else np.zeros((0, len(self.strings)))
@@ -236,10 +264,7 @@ class Model:
         margin = values @ (self.landmarks.root @ self.w / self.landmarks.scale).astype(np.float32)
         np.maximum.at(most, owner, margin)
         np.add.at(total, owner, np.maximum(margin, 0))
-        sums = np.zeros((n, values.shape[1]))
-        np.add.at(sums, owner, values)
-        dense = 200 * sums / np.maximum(n_words, 1)[:, None]
-        return np.concatenate([most[:, None] + self.b, np.log1p(total)[:, None], np.log1p(sums), np.log1p(dense)], 1)
+        return np.stack([most + self.b, np.log1p(total), np.log1p(200 * total / np.maximum(n_words, 1))], 1)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
@@ -268,8 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sizes = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
-    share = F.when(F.col("toxic") == 1, int(min(1.0, sample / sizes[1]) * 1_000_000)).otherwise(int(min(1.0, sample / sizes[0]) * 1_000_000))
-    few = keep(marked.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share), "sampled")
+    few = keep(marked.where(sampled(F.col("key"), F.col("toxic"), sizes, sample)), "sampled")
     chosen = keep(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(few), "key"), "labelled")
     used = chosen.mapInArrow(_words_of, "toxic int, words array<string>").select("toxic", F.explode("words").alias("w"))
     counts = keep(used.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where("t + c > 1"), "words")

@@ -31,6 +31,10 @@ SWAPS = [("concise", "comprehensive"), ("comprehensive", "concise"), ("formal",
 _SPACE = " \t\r\n"
 
 
+def _stems(starts: list[str]) -> str:
+    return "|".join(starts)
+
+
 def _clauses(starts: list[str]) -> list[str]:
     return [rf"(?m)^[ \t]*{s}\s+.+[.!]?\s*$" for s in starts]
 
@@ -39,14 +43,24 @@ def _struct(operator: str, order: Column, mutated: Column, removed: Column) -> C
     return F.struct(F.lit(operator).alias("operator"), order.alias("order"), mutated.alias("mutated"), removed.alias("removed"))
 
 
+#: Characters that no text interchanges, around what a pattern matches.
+_OPEN, _SHUT = "\uFDD0", "\uFDD1"
+
+
 def _without(text: Column, pattern: str, operator: str, order: int) -> Column:
     """For each match of the pattern, the text without it."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    # each match is looked for after the one before it
-    begins = F.aggregate(found, F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at")), lambda z, m: F.struct((F.position(m, text, z["next"]) + F.char_length(m)).alias("next"), F.concat(z["at"], F.array(F.position(m, text, z["next"]))).alias("at")), lambda z: z["at"])
-    pairs = F.arrays_zip(found.alias("m"), begins.alias("a"))
-    cut = lambda p: F.btrim(F.regexp_replace(F.concat(F.substring(text, F.lit(1), p["a"] - 1), F.substring(text, p["a"] + F.char_length(p["m"]), F.char_length(text))), r"\n{3,}", "\n\n"), F.lit(_SPACE))
-    return F.transform(pairs, lambda p, i: _struct(operator, F.lit(order * 1000) + i, cut(p), F.btrim(p["m"], F.lit(_SPACE))))
+    plain = F.translate(text, _OPEN + _SHUT, "")
+    parts = F.split(F.regexp_replace(plain, pattern, f"{_OPEN}$0{_SHUT}"), _OPEN)
+    unmarked = lambda xs: F.translate(F.array_join(xs, ""), _SHUT, "")
+    clean = lambda t: F.btrim(F.regexp_replace(t, r"\n{3,}", "\n\n"), F.lit(_SPACE))
+
+    def mutant(i: Column) -> Column:
+        own = F.split(F.get(parts, i), _SHUT)
+        rest = F.concat(F.array(F.get(own, F.lit(1))), F.slice(parts, i + 2, F.size(parts)))
+        return _struct(operator, F.lit(order * 1000) + i, clean(F.concat(unmarked(F.slice(parts, F.lit(1), i)), unmarked(rest))), F.btrim(F.get(own, F.lit(0)), F.lit(_SPACE)))
+
+    none = F.array().cast("array<struct<operator:string,order:int,mutated:string,removed:string>>")
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), mutant)).otherwise(none)
 
 
 def _replaced(text: Column, pattern: str, new: Column, operator: str, order: int) -> Column:
@@ -66,7 +80,7 @@ def _swap(text: Column, old: str, new: str, order: int) -> Column:
 def recommendation(operator: Column, removed: Column) -> Column:
     """What a test suite should have to kill the mutant."""
     clean = lambda starts: F.btrim(F.rtrim(F.regexp_replace(removed, rf"(?i)^({starts})\s+", ""), F.lit(".!")), F.lit(_SPACE))
-    return F.when(operator == "NegateConstraint", F.concat(F.lit("Add a case in which the user attempts to: "), clean("never|do not|don't|avoid|you must not|you should not|refuse"))).when(operator == "DropClause", F.concat(F.lit("Add a case in which the model has to: "), clean("always|you must|you should|make sure|ensure|respond"))).otherwise(F.concat(F.lit("Add a case for: "), removed))
+    return F.when(operator == "NegateConstraint", F.concat(F.lit("Add a case in which the user attempts to: "), clean(_stems(PROHIBIT)))).when(operator == "DropClause", F.concat(F.lit("Add a case in which the model has to: "), clean(_stems(REQUIRE)))).otherwise(F.concat(F.lit("Add a case for: "), removed))
 
 
 def generate(prompts: DataFrame, key: str, text: str, most: int = 20) -> DataFrame:

@@ -83,7 +83,9 @@ def reasoning_steps(text: Column) -> Column:
     split = lambda p: F.transform(F.split(raw, p), lambda s, i: F.struct(i.alias("index"), _trim(s).alias("text")))
     long = lambda xs: F.filter(xs, lambda s: F.char_length(s["text"]) > 5)
     blank = F.transform(F.filter(F.transform(F.split(raw, r"\n\n+"), _trim), lambda s: s != ""), lambda s, i: F.struct(i.alias("index"), s.alias("text")))
-    return F.when(F.size(split(NUMBERED)) > 1, long(split(NUMBERED))).when(F.size(blank) > 1, blank).when(F.size(split(CONNECTORS)) > 1, long(split(CONNECTORS))).otherwise(F.array(F.struct(F.lit(0).alias("index"), raw.alias("text"))))
+    pieces = F.split(raw, CONNECTORS)  # a connecting word at the very beginning has an empty piece before it, which counts
+    by_words = F.when(raw.rlike(CONNECTORS.replace(r"(?:^|\. |\n)", "^")), F.concat(F.array(F.lit("")), pieces)).otherwise(pieces)
+    return F.when(F.size(split(NUMBERED)) > 1, long(split(NUMBERED))).when(F.size(blank) > 1, blank).when(F.size(by_words) > 1, long(F.transform(by_words, lambda s, i: F.struct(i.alias("index"), _trim(s).alias("text"))))).otherwise(F.array(F.struct(F.lit(0).alias("index"), raw.alias("text"))))
 
 
 def clause_type(clause: Column) -> Column:

@@ -52,6 +52,40 @@ def keep_hybrid(rows: DataFrame, conv: str, most: int, reserved: int = RESERVED)
     return rows.join(kept, F.col(conv).eqNullSafe(F.col("_conv"))).withColumn("kept", F.col("is_system") | F.array_contains("_kept", F.col("index").cast("int"))).drop("_conv", "_kept")
 
 
+SUMMARY_ROLE_TOKENS = 6
+# fixed values: lengths of snippets, most bullets of a forced summary, and what it sets aside
+SNIPPET, SHORT_SNIPPET, BULLETS, FORCED_OVERHEAD = 120, 60, 20, 8
+
+
+def keep_summary(rows: DataFrame, conv: str, role: str, text: str, most: int, reserved: int = RESERVED) -> DataFrame:
+    """(conv, n_dropped, summary): how many of the oldest messages a summary stands for, as few as let the rest fit.
+
+    The summary has a line for each, its first sentence.  If no number fits, all go, and the summary has as many short lines of the latest as
+    fit, or one line without them; it is null if even the system messages leave no room.
+    """
+    space = most - reserved
+    order = Window.partitionBy(conv).orderBy("index")
+    body = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\r\n"))
+    who = F.concat(F.lit("• "), F.upper(F.left(F.col(role), F.lit(1))), F.lower(F.substring(F.col(role), 2, 1 << 20)), F.lit(": "))
+    first = F.left(F.get(F.split(body, r"(?<=[.!?])\s", 2), F.lit(0)), F.lit(SNIPPET))
+    own = rows.where(~F.col("is_system")).withColumns({"_line": F.when(first != "", F.concat(who, first)), "_short": F.concat(who, F.left(body, F.lit(SHORT_SNIPPET)))})
+    own = own.withColumns({"_j": F.row_number().over(order), "_gone": F.sum("tokens").over(order), "_chars": F.coalesce(F.sum(F.char_length("_line")).over(order), F.lit(0)), "_lines": F.count("_line").over(order), "_rest": F.sum("tokens").over(Window.partitionBy(conv))})
+    header = lambda n: F.concat(F.lit("[Context summary — "), n.cast("string"), F.lit(" earlier messages]\n"))
+    length = F.char_length(header(F.col("_j"))) + F.when(F.col("_lines") > 0, F.col("_chars") + F.col("_lines") - 1).otherwise(F.char_length(F.lit("• (no content)")))
+    fits = F.col("system_tokens") + F.col("_rest") - F.col("_gone") + F.floor((length + 3) / 4) + SUMMARY_ROLE_TOKENS <= space
+    per = own.groupBy(conv).agg(F.min(F.when(fits, F.col("_j"))).alias("_d"), F.first("_rest").alias("_rest"), F.first("system_tokens").alias("_system"), F.count("*").alias("_n"), F.array_sort(F.collect_list(F.struct("_j", "_line", "_short"))).alias("_all"))
+    whole = F.col("_system") + F.col("_rest") <= space
+    lines = F.array_join(F.transform(F.filter("_all", lambda x: x["_j"] <= F.col("_d")), lambda x: x["_line"]), "\n")
+    summary = F.concat(header(F.col("_d")), F.when(lines == "", F.lit("• (no content)")).otherwise(lines))
+    room = F.lit(space - FORCED_OVERHEAD) - F.col("_system")
+    forced = F.transform(F.sequence(F.least(F.col("_n"), F.lit(BULLETS)).cast("int"), F.lit(1)), lambda k: F.concat(F.lit("[Summary: "), F.col("_n").cast("string"), F.lit(" msgs]\n"), F.array_join(F.transform(F.slice("_all", -k, k), lambda x: x["_short"]), "\n")))
+    fitting = F.get(F.filter(forced, lambda t: X.estimate_tokens(t) <= room), F.lit(0))
+    bare = F.concat(F.lit("[Summary: "), F.col("_n").cast("string"), F.lit(" earlier messages omitted to fit token budget]"))
+    made = per.select(F.col(conv).alias("_conv"), F.when(whole, 0).otherwise(F.coalesce("_d", "_n")).cast("bigint").alias("n_dropped"), F.when(whole, None).when(F.col("_d").isNotNull(), summary).when(room > 0, F.coalesce(fitting, bare)).alias("summary"))
+    every = rows.select(conv).distinct()
+    return every.join(made, F.col(conv).eqNullSafe(F.col("_conv")), "left").select(conv, F.coalesce("n_dropped", F.lit(0).cast("bigint")).alias("n_dropped"), "summary")
+
+
 STRATEGIES = {"recency": keep_recent, "sliding": keep_recent, "importance": keep_important, "hybrid": keep_hybrid}
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeloom import errors
-from gaugeloom.operators import ledger, livelock, mutation, parsing, patrol, scoring, trim
+from gaugeloom.operators import gates, ledger, livelock, mutation, parsing, patrol, scoring, trim
 from gaugeloom.streaming.streams import step_report
 
 
@@ -144,3 +144,44 @@ def test_gates_raise(spark):
     assert {r["id"] for r in e.value.rows} == {2, 3}
     assert errors.handle(df, "ok", "log").count() == 1
     assert {r.id for r in errors.handle(df, "ok", "fallback", {"id": 0}).collect()} == {1, 0}
+
+
+def test_mutants_lose_the_line_that_matched(spark):
+    texts = ["Please Never lie.\nNever lie.", "Never lie.\nNever lie.\nAlways cite.", "nothing here"]
+    got = mutation.generate(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text").collect()
+    assert [r.mutated for r in got if r.id == 0] == ["Please Never lie."]
+    assert {r.mutated for r in got if r.id == 1} == {"Never lie.\nAlways cite.", "Never lie.\n\nAlways cite.", "Never lie.\nNever lie."}
+    assert not [r for r in got if r.id == 2]
+
+
+def test_steps_after_a_leading_connector_count_from_one(spark):
+    texts = ["First do this. Then do that thing.", "However it stays one", "Do this now. Then do that thing."]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", parsing.reasoning_steps(F.col("text")).alias("s"))
+    assert {r.id: [x["index"] for x in r.s] for r in df.collect()} == {0: [1, 2], 1: [1], 2: [0, 1]}
+
+
+def test_summaries_stand_for_the_oldest_messages(spark):
+    rows = trim.keep_summary(messages(spark), "c", "role", "text", 600, reserved=450)
+    got = {r.c: (r.n_dropped, r.summary) for r in rows.collect()}
+    assert got[1] == (1, "[Context summary — 1 earlier messages]\n• User: " + "x" * 120)
+    assert got[2] == (0, None)
+    assert got[3] == (1, None)  # the system messages alone are too many
+    tight = {r.c: (r.n_dropped, r.summary) for r in trim.keep_summary(messages(spark), "c", "role", "text", 60, reserved=0).collect()}
+    assert tight[1] == (3, "[Summary: 3 msgs]\n• Assistant: is it important?\n• User: " + "y" * 60)
+
+
+def test_gates(spark):
+    runs = spark.createDataFrame([("a", 1, True, 0.9), ("a", 2, False, 0.2), ("a", 3, True, 0.8), ("b", 1, True, None)], "k string, t int, ok boolean, s double")
+    last = {r.k: (r.n, r.passed) for r in gates.last_n_gate(runs, ["k"], "ok", 2, F.desc("t")).collect()}
+    assert last == {"a": (2, False), "b": (1, True)}
+    assert [r.passed for r in gates.share_gate(runs, [], F.col("ok"), least=0.75).collect()] == [True]
+    assert [r.passed for r in gates.share_gate(runs.limit(0), [], F.col("ok"), least=0.1).collect()] == [False]
+    assert [r.passed for r in gates.score_gate(runs, "s", least=0.5).orderBy("k", "t").collect()] == [True, False, True, False]
+    with pytest.raises(errors.GateError):
+        errors.require(gates.score_gate(runs, "s", most=0.5), "passed", "drift")
+    assert [(r.t, r.s) for r in gates.best(runs, ["k"], "s", F.asc("t")).where("k = 'a'").collect()] == [(1, 0.9)]
+    with pytest.raises(Exception, match="differ in length"):
+        spark.range(1).select(gates.zipped(F.array(F.lit(1)), F.array(F.lit(1), F.lit(2)))).collect()
+    cases = spark.createDataFrame([(1, 0.9, 0.9, True, "HIGH", "x"), (1, 0.9, 0.1, True, "HIGH", "y"), (2, 0.9, 0.9, False, "HIGH", "z")], "p int, o double, m double, changed boolean, severity string, advice string")
+    got = {r.p: (r.calibration_score, r.total, r.caught, r.missed, r.warnings) for r in gates.calibration(cases, ["p"], "o", "m", F.col("changed"), "severity", "advice").collect()}
+    assert got == {1: (0.5, 2, 1, 1, ["x"]), 2: (0.0, 0, 0, 0, [])}

@@ -2,7 +2,7 @@
 
 Native: DataFrame functions only.  The hashes of the windows' first PROBE words are broadcast; their number
 is counted first, and beyond `broadcast_windows` they are split into slices, each broadcast for a
-scan of its own.  A scan makes the words of each document and probes one hash for each of its places, in time linear in the text.
+scan of its own.  A scan makes the words of each document and probes one hash for each of its places.
 The places hit, few as a rule, get their whole window, which counts only if its words equal those of a window of the benchmark.
 
 Words: A-Z is lower-cased, other letters stay; a word is a run of digits, a-z and characters
@@ -95,7 +95,8 @@ def find(docs: DataFrame, windows: DataFrame, broadcast_windows: int = BROADCAST
             whole.append(F.transform(F.filter(here, lambda at: at + n <= F.col("n_words")), lambda at: F.struct(at.alias("at"), F.lit(n).alias("n"), F.slice("words", at + 1, F.lit(n)).alias("words"))))  # noqa: B023
         first = first + size
     none = F.array().cast("array<struct<at:int,n:int,words:array<string>>>")
-    seen = back.select("key", "mark", F.inline(F.concat(none, *whole))).distinct()
+    # words are used twice, so that the optimizer doesn't split a text anew for each place
+    seen = back.withColumn("n_words", F.size("words")).select("key", "mark", F.inline(F.concat(none, *whole))).distinct()
     same = windows.select("n", "words").distinct()
     if slices == 1 and windows.count() <= broadcast_windows:
         same = F.broadcast(same)

@@ -129,3 +129,13 @@ def test_native_plans_run_no_python(spark, tmp_path, hard):
     got = fingerprint.op1_fingerprint(spark, str(tmp_path)).where("doc_id = 7").collect()
     assert {len(r.edited_sha256) for r in got} == {64}
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_decontamination_of_a_long_text(spark):
+    words = [f"v{i}" for i in range(20_000)]
+    item = words[15_000:15_030]
+    docs = spark.createDataFrame([(1, " ".join(words)), (None, " ".join(item)), (None, "clean text of another row")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    got = {(r.doc_id, r.n_words): r.n_hit for r in decontaminate.scan(docs, items).collect()}
+    assert got == {(1, 20_000): 30, (None, 30): 30, (None, 5): 0}
+    assert [r.text for r in decontaminate.drop_documents(docs, items).collect()] == ["clean text of another row"]

@@ -36,6 +36,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OTHER_CAPITALS = r"[[\p{IsUppercase}\p{Lt}]&&[^A-Z]]"
 NO_HASH = 0
 MARK = "_gaugeloom_text"
+PLACES = "array<struct<hash:bigint,n_words:int>>"
 
 
 def words_of(text: Column) -> Column:
@@ -50,7 +51,8 @@ def _hash(words: Column, at: Column, n: int) -> Column:
 
 def _window_hashes(words: Column, n: int) -> Column:
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n))
-    return F.coalesce(F.transform(starts, lambda i: _hash(words, i, n)), F.array().cast("array<bigint>"))
+    none = F.lit(None).cast("int")
+    return F.coalesce(F.transform(starts, lambda i: F.struct(_hash(words, i, n).alias("hash"), none.alias("n_words"))), F.array().cast(PLACES))
 
 
 def benchmark_windows(items: DataFrame, item_key: str = "item_id", item_text: str = "text", n: int = N) -> DataFrame:
@@ -72,8 +74,10 @@ def find(docs: DataFrame, windows: DataFrame, broadcast_windows: int = BROADCAST
     slices = -(-probes.count() // broadcast_windows) or 1
 
     words = docs.select("key", "mark", words_of(F.col("text")).alias("words"))
-    hashes = F.concat(F.array(F.lit(NO_HASH).cast("bigint")), *[_window_hashes(F.col("words"), p) for p in probed])
-    places = words.select("key", "mark", F.size("words").alias("n_words"), F.posexplode(hashes).alias("p", "hash"))
+    # the number of words goes with place 0: a column of its own would be worked out after the explode, whose rows would each carry all words
+    own = F.struct(F.lit(NO_HASH).cast("bigint").alias("hash"), F.size("words").alias("n_words"))
+    hashes = F.concat(F.array(own).cast(PLACES), *[_window_hashes(F.col("words"), p) for p in probed])
+    places = words.select("key", "mark", F.posexplode(hashes).alias("p", "at")).select("key", "mark", "p", "at.hash", "at.n_words")
     spots = None
     for s in range(slices):
         some = probes.where(F.pmod(F.col("hash"), F.lit(slices)) == s)
@@ -81,7 +85,7 @@ def find(docs: DataFrame, windows: DataFrame, broadcast_windows: int = BROADCAST
             some = some.unionByName(docs.sparkSession.range(1).select(F.lit(NO_HASH).cast("bigint").alias("hash"))).distinct()
         got = places.join(F.broadcast(some), "hash", "left_semi").select("key", "mark", "n_words", "p")
         spots = got if spots is None else spots.unionByName(got)
-    spots = keep(spots.groupBy("key", "mark").agg(F.first("n_words").alias("n_words"), F.count_if(F.col("p") == 0).alias("copies"), F.collect_set(F.when(F.col("p") > 0, F.col("p"))).alias("spots")), "spots")
+    spots = keep(spots.groupBy("key", "mark").agg(F.max("n_words").alias("n_words"), F.count_if(F.col("p") == 0).alias("copies"), F.collect_set(F.when(F.col("p") > 0, F.col("p"))).alias("spots")), "spots")
 
     few = spots.where(F.size("spots") > 0).select(F.col("key").alias("k"), F.col("mark").alias("m"), "spots", "n_words")
     if (few.agg(F.sum(F.size("spots") + 1)).first()[0] or 0) <= BROADCAST_PLACES:

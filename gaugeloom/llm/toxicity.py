@@ -79,19 +79,17 @@ def kernel(strings: np.ndarray, landmark: bytes) -> np.ndarray:
     """Of each row of letters, zeros after its end, the subsequence kernel with the landmark."""
     n, m = len(strings), len(landmark)
     order = min(ORDER, m)
-    marks = np.frombuffer(landmark, np.uint8)
-    k1 = np.zeros((order, m + 1, n), np.float32)  # K' of each order for each prefix of the landmark
+    marks = np.frombuffer(landmark, np.uint8)[:, None]
+    apart = np.arange(m)[:, None] - np.arange(m) - 1
+    fade = np.where(apart >= 0, DECAY ** np.maximum(apart, 0), 0).astype(np.float32)  # of a match from one place of the landmark to those after it
+    k1 = np.zeros((order, m, n), np.float32)  # K' of each order for what comes before each place of the landmark
     k1[0] = 1
     total = np.zeros(n, np.float32)
     for at in range(strings.shape[1]):
-        x = strings[:, at]
-        match = (x == marks[:, None]).astype(np.float32) * np.float32(DECAY**2)
-        total += np.einsum("jn,jn->n", match, k1[order - 1, :m])
-        for i in range(order - 1, 0, -1):
-            k2 = np.zeros(n, np.float32)
-            for j in range(m):
-                k2 = np.float32(DECAY) * k2 + match[j] * k1[i - 1, j]
-                k1[i, j + 1] = np.float32(DECAY) * k1[i, j + 1] + k2
+        met = k1 * ((strings[:, at] == marks) * np.float32(DECAY**2))
+        total += met[-1].sum(axis=0)
+        k1[1:] *= np.float32(DECAY)
+        k1[1:] += fade @ met[:-1]
     return total
 
 

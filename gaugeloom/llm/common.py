@@ -65,9 +65,11 @@ def _drop_all() -> None:
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends here and a
-    lost executor costs nothing that was written."""
+    lost executor costs nothing that was written.  The shuffles that made it go: Spark removes
+    them once the driver has collected what refers to them, which it is asked to do here."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._gaugeloom_path = path
     return back

@@ -34,6 +34,8 @@ SAMPLE = 1000
 CLUSTERS = 3
 ROUNDS = 12
 SLOTS = 1 << 12
+#: Bytes of text whose n-grams are counted at a time, each by some 50 bytes of arrays.
+PART = 1 << 18
 FAR_SHARE = 0.002
 SLACK = 1.15
 MOST_DISTANT = 0.97
@@ -65,11 +67,11 @@ def counts(batch: pa.RecordBatch, text: str) -> np.ndarray:
 
 
 def _lowered(batch: pa.RecordBatch, text: str):
-    """(rows, texts in lower case) of about a chunk each, at most 256."""
+    """(rows, texts in lower case) of about PART bytes each, at most 256."""
     column = pc.utf8_lower(batch.column(text).cast(pa.large_string()).fill_null(""))
     lowered = pa.RecordBatch.from_arrays([pa.array(np.arange(len(column))), column], ["row", "text"])
     for at in range(0, len(column), 256):
-        for part, _, _ in B.chunks(lowered.slice(at, 256), "text", 1 << 20):
+        for part, _, _ in B.chunks(lowered.slice(at, 256), "text", PART):
             yield part.column("row").to_numpy(), part
 
 
@@ -167,11 +169,12 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     def distances(batches):
         for batch in batches:
-            texts = [p for t in batch.column("text").to_pylist() if LETTER.search(t) for p in _pieces(t)]
-            for _, part in _lowered(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}), "text"):
-                n = counts(part, "text")
-                best, cosine = shared.value.nearest(n)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([shared.value.languages[i] for i in best], pa.string()), "band": pa.array(band(n)), "d": pa.array(1 - cosine)})
+            for at in range(0, batch.num_rows, 64):
+                texts = [p for t in batch.column("text").slice(at, 64).to_pylist() if LETTER.search(t) for p in _pieces(t)]
+                for _, part in _lowered(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}), "text"):
+                    n = counts(part, "text")
+                    best, cosine = shared.value.nearest(n)
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([shared.value.languages[i] for i in best], pa.string()), "band": pa.array(band(n)), "d": pa.array(1 - cosine)})
 
     seen = chosen.mapInArrow(distances, "lang string, band bigint, d double")
     # a row for each language and band

@@ -120,6 +120,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
                         rows.append((p, start, n, zlib.crc32(ids[start : start + n])))
                 p, start, n, crc = np.array(rows, np.int64).reshape(-1, 4).T
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(numbers, pa.int64())), pa.array(p, pa.int32()), pa.array(start), pa.array(n), pa.array(crc)], [key, "piece", "start", "length", "ids_crc32"])
+        encode.rest()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, whole_text(text).alias(text)).mapInArrow(run, f"{key} {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")

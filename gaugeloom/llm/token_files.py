@@ -152,6 +152,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
                         out, first = Writer(to, bits_for(max(encode.size, end_id + 1))), k
                     out.add(k, np.concatenate([ids, end]))
                     n_docs += 1
+        encode.rest()
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"first": pa.array([first], pa.int64()), "shard": pa.array([shard], pa.int32()), "path": [to], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([out.n], pa.int64())})

@@ -6,12 +6,15 @@ import os
 import re
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a worker remembers; others are encoded anew.  About 200 bytes each.
 REMEMBERED = 1_000_000
+#: Words that it still remembers after a task: those met first, so mostly frequent ones.
+KEPT = 200_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = b"odd"
 #: How vocabularies of this kind write the space.
@@ -90,6 +93,11 @@ class Encoder:
                 out.append(np.frombuffer(first + b"".join(ids), np.uint32))
         return out
 
+    def rest(self) -> None:
+        """Gives memory back, as other stages may use this worker next."""
+        if len(self.known) > KEPT:
+            self.known = dict(islice(self.known.items(), KEPT))
+
     def _by_parts(self, text: str) -> np.ndarray:
         parts = _CUT.split(text)
         found = [self.known.get(w) for w in parts[1:]]

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import batches as B
 from .common import keep
 
 MOST_ROUNDS = 60
@@ -47,7 +48,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = keep(edges, "links")
     parts = max(1, -(-edges.count() // LOCAL))
-    edges = keep(edges.repartition(parts).mapInArrow(_contract, "u bigint, v bigint"), "stars")
+    edges = keep(edges.repartition(parts).mapInArrow(B.giving_back(_contract), "u bigint, v bigint"), "stars")
     if parts == 1:
         return _stars(edges)
     edges = edges.distinct()

@@ -147,7 +147,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         return None
     chosen = rows.where(sampled(F.col("key"), F.col("lang"), sizes, sample)).select("lang", "text")
     chosen = keep(chosen, "chosen")
-    found = keep(chosen.mapInArrow(_sample_counts, "lang string, counts binary"), "ngrams")
+    found = keep(chosen.mapInArrow(B.giving_back(_sample_counts), "lang string, counts binary"), "ngrams")
     as_matrix = lambda pdf: np.stack([np.frombuffer(x, "<u4") for x in pdf["counts"].iloc[: 2 * sample]])
 
     def frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                     best, cosine = shared.value.nearest(n)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([shared.value.languages[i] for i in best], pa.string()), "band": pa.array(band(n)), "d": pa.array(1 - cosine)})
 
-    seen = chosen.mapInArrow(distances, "lang string, band bigint, d double")
+    seen = chosen.mapInArrow(B.giving_back(distances), "lang string, band bigint, d double")
     # a row for each language and band
     model.distances = _limits(seen.groupBy("lang", "band").agg(F.percentile("d", 1 - FAR_SHARE).alias("far")).collect(), model.languages)
     return model
@@ -200,7 +200,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tup
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*batch.schema.names, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} double, {names[2]} boolean")
+    return docs.mapInArrow(B.giving_back(run), f"{schema}, {names[0]} string, {names[1]} double, {names[2]} boolean")
 
 
 def held_out(key: Column, folds: int = 5) -> Column:

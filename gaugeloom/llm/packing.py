@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import batches as B
 from .common import keep, table, whole_text
 from .tokens import default_vocabulary, encoder
 
@@ -123,7 +124,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
         encode.rest()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, whole_text(text).alias(text)).mapInArrow(run, f"{key} {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select(key, whole_text(text).alias(text)).mapInArrow(B.giving_back(run), f"{key} {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def assign(found: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
@@ -144,7 +145,7 @@ def assign(found: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> D
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema if f.name != "number")
-    return numbered.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
+    return numbered.mapInArrow(B.giving_back(run), f"{schema}, sequence_id bigint, offset bigint")
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:

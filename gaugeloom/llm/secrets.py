@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import batches as B
 from .common import keep, table
 
 KINDS = ("assign", "access", "hex", "bare")
@@ -86,7 +87,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: s
     by start, then kind."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(key).alias("key"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"))
-    scanned = keep(rows.mapInArrow(_scan, f"key {kind}, repository string, owner string, kinds array<string>, starts array<int>, ends array<int>, hashes array<binary>").withColumn("row", F.monotonically_increasing_id()), "scanned")
+    scanned = keep(rows.mapInArrow(B.giving_back(_scan), f"key {kind}, repository string, owner string, kinds array<string>, starts array<int>, ends array<int>, hashes array<binary>").withColumn("row", F.monotonically_increasing_id()), "scanned")
     some = scanned.where(F.size("kinds") > 0)
     each = some.select("row", "repository", "owner", F.explode(F.arrays_zip("kinds", "starts", "ends", "hashes")).alias("x"))
     each = each.select("row", "repository", "owner", F.col("x.kinds").alias("kind"), F.col("x.starts").alias("start"), F.col("x.ends").alias("end"), F.col("x.hashes").alias("value"))

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import batches as B
 from .common import fresh_path, keep, table, whole_text
 from .tokens import default_vocabulary, encoder
 
@@ -159,7 +160,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
 
     rows = docs.select(F.col(key).cast("bigint").alias(key), whole_text(text).alias(text))
     ordered = rows.repartitionByRange(key).sortWithinPartitions(F.col(key).asc_nulls_first(), F.xxhash64(text))
-    return keep(ordered.mapInArrow(run, MANIFEST), "manifest")
+    return keep(ordered.mapInArrow(B.giving_back(run), MANIFEST), "manifest")
 
 
 def read(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -186,7 +187,7 @@ def read(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([keys, pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())], [key, "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(rows, "path string, base bigint").repartition(max(1, len(rows)))
-    return listed.mapInArrow(run, f"{key} bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return listed.mapInArrow(B.giving_back(run), f"{key} bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -293,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return None
     few = keep(marked.where(sampled(F.col("key"), F.col("toxic"), sizes, sample)), "sampled")
     chosen = keep(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(few), "key"), "labelled")
-    used = chosen.mapInArrow(_words_of, "toxic int, words array<string>").select("toxic", F.explode("words").alias("w"))
+    used = chosen.mapInArrow(B.giving_back(_words_of), "toxic int, words array<string>").select("toxic", F.explode("words").alias("w"))
     counts = keep(used.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where("t + c > 1"), "words")
     odds = min(1.0, sample / sizes[1]) * sizes[1] / (min(1.0, sample / sizes[0]) * sizes[0])
     # of the sample's words, whose texts are bounded
@@ -314,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 per = [values[owner == i].astype("<f4") for i in range(len(rows))]
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").take(pa.array(rows)), pa.array([v.tobytes() for v in per]), pa.array(count_words(data, offsets))], ["toxic", "values", "n"])
 
-    got = chosen.mapInArrow(features, "toxic int, values binary, n bigint").toArrow().to_pylist()  # the sample's sentences with a landmark
+    got = chosen.mapInArrow(B.giving_back(features), "toxic int, values binary, n bigint").toArrow().to_pylist()  # the sample's sentences with a landmark
     y = np.array([1 if r["toxic"] else -1 for r in got])
     raw = [np.frombuffer(r["values"], "<f4").reshape(-1, len(chosen_stems)) for r in got]
     per = [landmarks.map(x).astype(np.float32) for x in raw]
@@ -354,7 +354,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, {out} double")
+    return docs.mapInArrow(B.giving_back(run), f"{schema}, {out} double")
 
 
 def held_out(key: Column) -> Column:

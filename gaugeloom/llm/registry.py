@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("fingerprint", "line_dedup", "token_files", "language", "licenses", "toxicity", "packing", "decontaminate", "jaccard_join", "secrets", "whitening", "nearest")
+MODULES = ("fingerprint", "line_dedup", "token_files", "language", "licenses", "toxicity", "packing", "decontaminate", "jaccard_join", "secrets", "whitening", "nearest", "prefix_tree")
 
 
 def queries() -> dict:

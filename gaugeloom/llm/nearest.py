@@ -152,10 +152,12 @@ class Index:
     def calibrate(self, x: np.ndarray, lifted: np.ndarray, nearest: int) -> None:
         """The ratios that find RECALL of the sample's neighbours, by the distance of queries to the nearest centroid."""
         some = np.unique(np.linspace(0, len(x) - 1, CALIBRATED).astype(int))
-        met = x[some] @ x.T
-        met[np.arange(len(some)), some] = -np.inf
         many = min(nearest, len(x) - 1)
-        best = np.argpartition(-met, many - 1, axis=1)[:, :many] if many else np.zeros((len(some), 0), int)
+        best = np.zeros((len(some), many), int)
+        for at in range(0, len(some) if many else 0, 16):
+            met = x[some[at : at + 16]] @ x.T
+            met[np.arange(len(met)), some[at : at + 16]] = -np.inf
+            best[at : at + 16] = np.argpartition(met, met.shape[1] - many, axis=1)[:, -many:]
         away = np.sqrt(_distances(self.asking(x[some]), self.centroids))
         first = away.min(axis=1)
         needed = np.full(best.size, np.inf)
@@ -314,9 +316,9 @@ def _search(df: DataFrame, queries: Column, key: str, vector: str, nearest: int)
     own = all_classes.where(F.size("v") == d)
     wanted = max(1, min(SAMPLE, SAMPLE_ENTRIES // d))
     share = min(wanted, n) * ((1 << 63) - 1) // n
-    sample = own.where(F.xxhash64("v").bitwiseAND(F.lit((1 << 63) - 1)) <= share).orderBy(F.xxhash64("v")).select("v").toArrow()
-    x = _matrix(sample["v"].combine_chunks())
+    x = _matrix(own.where(F.xxhash64("v").bitwiseAND(F.lit((1 << 63) - 1)) <= share).orderBy(F.xxhash64("v")).select("v").toArrow()["v"].combine_chunks())
     index = spark.sparkContext.broadcast(Index(x, float(np.sqrt(commonest.longest)), max(LEAST_LEAF, LIST * len(x) // n) if len(x) < n else LIST, nearest))
+    del x
 
     listed = keep(own.mapInArrow(_listed(index), "list int, cid bigint, ids array<bigint>, v array<double>"), "postings")
     sizes = np.zeros(len(index.value.centroids), np.int64)

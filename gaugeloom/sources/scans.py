@@ -7,26 +7,24 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import checked
+
 CASE = "input string, output string, expected_output string"
 LABEL = "input string, output string, human_score double"
-
-
-def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+PAIR = "prompt string, cot_chain string, with_cot_output string, without_cot_output string"
+COHERENCE_CASE = "id string, steps array<string>, conclusion string, expect string"
 
 
 def cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(cases, rejected): rejected rows don't parse or lack an input.  Blank lines are passed over."""
-    rows = _json_lines(spark, path, CASE)
-    good = F.col("_corrupt").isNull() & F.col("input").isNotNull()
-    return rows.where(good).drop("_corrupt"), rows.where(~good)
+    """(cases, rejected) of JSON lines: file, line, input, output, expected_output.  Rejected lines don't parse or lack an input."""
+    return checked.checked_json(spark, path, CASE, ["input"])
 
 
 def human_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(labels, rejected): labels have an input, an output and a score within 0 and 1."""
-    rows = _json_lines(spark, path, LABEL)
-    good = F.col("_corrupt").isNull() & F.col("input").isNotNull() & F.col("output").isNotNull() & F.coalesce(F.col("human_score").between(0, 1), F.lit(False))
-    return rows.where(good).drop("_corrupt"), rows.where(~good)
+    """(labels, rejected) of JSON lines: labels have an input, an output and a score within 0 and 1."""
+    score = checked.key_text("human_score").try_cast("double")
+    good, bad = checked.checked_json(spark, path, "input string, output string, human_score string", ["input", "output", "human_score"], {"human_score is no number": score.isNotNull() & ~F.isnan(score), "human_score must be between 0 and 1": score.between(0, 1)})
+    return good.withColumn("human_score", F.col("human_score").cast("double")), bad
 
 
 def messages(spark: SparkSession, path: str) -> DataFrame:
@@ -43,9 +41,17 @@ def step_traces(spark: SparkSession, path: str) -> DataFrame:
     return each.select("run", "step", F.coalesce(F.get_json_object("raw", "$.output"), F.col("raw")).alias("output"), "goal")
 
 
-def fidelity_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(prompt, cot_chain, with_cot_output, without_cot_output) of JSON files, each an object or an array of them."""
-    return spark.read.schema("prompt string, cot_chain string, with_cot_output string, without_cot_output string").option("multiLine", True).json(path)
+def fidelity_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rejected) of JSON files, each an object or an array of them: file, entry, prompt, cot_chain (empty if not there), with_cot_output, without_cot_output."""
+    good, bad = checked.checked_entries(spark, path, PAIR, ["prompt", "with_cot_output", "without_cot_output"])
+    return good.withColumn("cot_chain", F.coalesce("cot_chain", F.lit(""))), bad
+
+
+def coherence_suites(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(cases, rejected) of reasoning suites: file, line, suite (the file's name if not given), threshold (0.55), id (`?`), steps, conclusion, expect (COHERENT)."""
+    good, bad = checked.suites(spark, path, COHERENCE_CASE, ["steps", "conclusion"])
+    given = {"suite": F.element_at(F.split("file", "/"), -1), "threshold": F.lit(0.55), "id": F.lit("?"), "expect": F.lit("COHERENT")}
+    return good.withColumns({c: F.coalesce(c, v) for c, v in given.items()}), bad
 
 
 def output_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -58,17 +64,6 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("name"), F.col("value").alias("text"))
 
 
-def suite(path: str) -> dict:
-    """A test suite or configuration in YAML or JSON, small and read on the driver."""
-    import yaml
-
-    with open(path, encoding="utf-8") as f:
-        found = yaml.safe_load(f)
-    if not isinstance(found, dict):
-        raise ValueError(f"{path} holds no mapping")
-    return found
-
-
 def glob_regex(pattern: str) -> str:
     """A regular expression for a path pattern with **, * and ?."""
     out = ""

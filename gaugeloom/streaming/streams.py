@@ -1,14 +1,13 @@
 """Structured Streaming forms of the incremental operators.
 
-State is kept per key and bounded: a livelock run needs its last progress and run lengths, a patrol run its last six token sets and its
-first three task similarities.  Rows of a key are taken in the order of their step within a batch; batches are assumed
-to bring steps in order.
+A patrol run keeps its last six token sets and its first three task similarities, until it has been idle for long.  Rows of a key are taken in
+the order of their step within a batch; batches are assumed to bring steps in order.  Gates, baselines and alerts are in `state`.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,37 +31,16 @@ def sessions(df: DataFrame, ts: str, key: str, gap: str = "30 minutes", late: st
     return df.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late).groupBy(F.session_window("_ts", gap).alias("session"), key).agg(F.count("*").alias("n"))
 
 
-def alerts(rates: DataFrame, threshold: float, notify: Callable[[list[dict]], None], most: int = 100):
-    """A query that tells notify of each micro-batch's windows whose rate is over the threshold, `most` of them."""
+def trailing_report(df: DataFrame, id: str, ts: str, keys: list[str], failed: str, fields: list[str], length: str = "7 days", slide: str = "1 day", late: str = "1 day") -> DataFrame:
+    """(window, keys, field, n, rate, severity) over hopping windows: of all observations (field `*`: any failure) and of each field.
 
-    def each(batch: DataFrame, _: int) -> None:
-        found = [r.asDict() for r in batch.where(F.col("rate") > threshold).limit(most).collect()]
-        if found:
-            notify(found)
-
-    return rates.writeStream.outputMode("update").foreachBatch(each)
-
-
-LIVELOCK = "{run} {run_type}, n_steps bigint, n_stuck bigint, score double, longest bigint, detected boolean, verdict string"
-
-
-def livelock(df: DataFrame, run: str, step: str, progress: str, epsilon: float = 0.05, k: int = 5, tier: str = "HIGH") -> DataFrame:
-    """One row per run and micro-batch: the report so far."""
-    t = verdicts.LIVELOCK[tier]
-
-    def report(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, n, stuck, now, longest = state.get if state.exists else (0.0, 0, 0, 0, 0)
-        for p in pd.concat(list(batches)).sort_values(step)[progress]:
-            still = abs(p - last) < epsilon
-            last, n, stuck, now = float(p), n + 1, stuck + still, now + 1 if still else 0
-            longest = max(longest, now)
-        state.update((last, n, stuck, now, longest))
-        score = stuck / n
-        verdict = "LIVELOCK_FREE" if score <= t else "BORDERLINE" if score <= t + verdicts.BAND else "LIVELOCK_DETECTED"
-        yield pd.DataFrame({run: [key[0]], "n_steps": [n], "n_stuck": [stuck], "score": [score], "longest": [longest], "detected": [longest >= k], "verdict": [verdict]})
-
-    schema = LIVELOCK.format(run=run, run_type=df.schema[run].dataType.simpleString())
-    return df.groupBy(run).applyInPandasWithState(report, schema, "last double, n long, stuck long, now long, longest long", "append", GroupStateTimeout.NoTimeout)
+    Rows that come again with the same id within `late` count once.  failed: a column of the names of the fields that failed."""
+    once = df.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late).dropDuplicatesWithinWatermark([id])
+    lost = F.coalesce(F.col(failed), F.array().cast("array<string>"))
+    each = [F.struct(F.lit("*").alias("field"), (F.size(lost) > 0).alias("lost")), *[F.struct(F.lit(f).alias("field"), F.array_contains(lost, f).alias("lost")) for f in fields]]
+    rows = once.select("_ts", *keys, F.inline(F.array(*each)))
+    out = rows.groupBy(F.window("_ts", length, slide).alias("window"), *keys, "field").agg(F.count("*").alias("n"), (F.count_if("lost") / F.count("*")).alias("rate"))
+    return out.withColumn("severity", verdicts.severity(F.col("rate")))
 
 
 def _jaccard(a: set, b: set) -> float:
@@ -105,14 +83,18 @@ def step_report(sets: list[set], n: int, early: list[float], task: set, mileston
     return PATHOLOGIES[which], severity, confidence
 
 
-def patrol(df: DataFrame, run: str, step: str, tokens: str, task: list[str], milestones: list[str], sensitivity: str = "MEDIUM") -> DataFrame:
-    """One row per step with a report: run, step, pathology, severity, confidence."""
-    goal, marks = set(task), set(milestones)
+def patrol(df: DataFrame, run: str, step: str, tokens: str, ts: str, task: list[str], milestones: list[str], sensitivity: str = "MEDIUM", idle: str = "1 day", late: str = "10 minutes") -> DataFrame:
+    """One row per step with a report: run, step, pathology, severity, confidence.  A run without steps for `idle` of event time is forgotten."""
+    goal, marks, idle_ms = set(task), set(milestones), int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def report(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, sets, early = state.get if state.exists else (0, "[]", "[]")
         sets, early, out = [set(x) for x in json.loads(sets)], json.loads(early), []
-        for s, words in pd.concat(list(batches)).sort_values(step)[[step, tokens]].itertuples(index=False):
+        rows = pd.concat(list(batches)).sort_values(step)
+        for s, words in rows[[step, tokens]].itertuples(index=False):
             n += 1
             sets = [*sets, set(words)][-6:]
             if len(early) < 3:
@@ -120,32 +102,12 @@ def patrol(df: DataFrame, run: str, step: str, tokens: str, task: list[str], mil
             if got := step_report(sets, n, early, goal, marks, sensitivity):
                 out.append((key[0], s, *got))
         state.update((n, json.dumps([sorted(x) for x in sets]), json.dumps(early)))
+        state.setTimeoutTimestamp(max(int(rows["_ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(out, columns=[run, step, "pathology", "severity", "confidence"])
 
     kinds = {c: df.schema[c].dataType.simpleString() for c in (run, step)}
-    return df.groupBy(run).applyInPandasWithState(report, f"{run} {kinds[run]}, {step} {kinds[step]}, pathology string, severity string, confidence double", "n long, sets string, early string", "append", GroupStateTimeout.NoTimeout)
-
-
-def baseline_gate(stream: DataFrame, ledger_path: str, keys: list[str], score: str, passed: str, seq: str, on_fail: Callable[[list[dict]], None], drop: float = 0.05):
-    """A query that gates each micro-batch's scores against the ledger's baselines, then adds it to the ledger."""
-    from gaugeloom.operators import ledger
-
-    def each(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            before = spark.read.parquet(ledger_path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            before = batch.limit(0)
-        base = ledger.baseline(before, keys, score, passed, F.desc(seq))
-        found = ledger.gate(batch.join(base, keys, "left"), score, "baseline", "regression", drop=drop).where("should_fail")
-        rows = [r.asDict() for r in found.limit(100).collect()]
-        batch.write.mode("append").parquet(ledger_path)
-        if rows:
-            on_fail(rows)
-
-    return stream.writeStream.foreachBatch(each)
+    timed = df.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
+    return timed.groupBy(run).applyInPandasWithState(report, f"{run} {kinds[run]}, {step} {kinds[step]}, pathology string, severity string, confidence double", "n long, sets string, early string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def from_files(spark, path: str, schema, per_trigger: int = 1) -> DataFrame:

@@ -65,13 +65,21 @@ def suite_counts(df: DataFrame, keys: list[str], actual: Column, expected: Colum
     return df.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(same).alias("n_passed"), F.count_if(~same).alias("n_failed"))
 
 
-def calibration(cases: DataFrame, keys: list[str], original: str, mutant: str, changed: Column, severity: str, advice: str, delta: float = 0.15) -> DataFrame:
-    """(keys, calibration_score, total, caught, missed, warnings): the share of applicable cases whose score falls by `delta`, and the advice of
-    the HIGH ones missed.  Cases that change nothing don't apply; without any, the score is 0."""
+# fixed value: what is said of a case that couldn't be evaluated
+CASE_FAILED = "Calibration case '%s' failed: %s"
+
+
+def calibration(cases: DataFrame, keys: list[str], original: str, mutant: str, changed: Column, severity: str, advice: str, delta: float = 0.15, order: str | None = None, error: str | None = None, description: str | None = None) -> DataFrame:
+    """(keys, calibration_score, total, caught, missed, warnings): the share of applicable cases whose score falls by `delta`, and, in the order of the cases (of the advice
+    without one), the advice of the HIGH ones missed and what failed.  Cases that change nothing or failed don't count; without any, the score is 0."""
+    broke = F.col(error).isNotNull() if error else F.lit(False)
     caught = F.col(original) - F.col(mutant) >= delta
-    rows = cases.where(changed).withColumn("_caught", F.coalesce(caught, F.lit(False)))
-    missed = F.when(~F.col("_caught") & (F.col(severity) == "HIGH"), F.col(advice))
-    sums = rows.groupBy(*keys).agg(F.avg(F.col("_caught").cast("int")).alias("calibration_score"), F.count("*").alias("total"), F.count_if("_caught").alias("caught"), F.array_sort(F.collect_list(missed)).alias("warnings"))
+    rows = cases.where(changed).withColumns({"_broke": broke, "_caught": F.coalesce(caught, F.lit(False))}).withColumn("_counts", ~F.col("_broke"))
+    said = F.format_string(CASE_FAILED, F.col(description or advice), F.col(error)) if error else F.lit(None).cast("string")
+    told = F.when(F.col("_broke"), said).when(~F.col("_caught") & (F.col(severity) == "HIGH"), F.col(advice))
+    warning = F.when(told.isNotNull(), F.struct(F.col(order or advice).alias("at"), told.alias("text")))
+    counted = F.col("_counts") & F.col("_caught")
+    sums = rows.groupBy(*keys).agg(F.avg(F.when(F.col("_counts"), F.col("_caught").cast("int"))).alias("calibration_score"), F.count_if("_counts").alias("total"), F.count_if(counted).alias("caught"), F.transform(F.sort_array(F.collect_list(warning)), lambda w: w["text"]).alias("warnings"))
     every = cases.select(*keys).distinct() if keys else cases.sparkSession.range(1).drop("id")
     whole = every.join(sums, keys, "left") if keys else sums
     zero = {"calibration_score": F.lit(0.0), "total": F.lit(0).cast("bigint"), "caught": F.lit(0).cast("bigint"), "warnings": F.array().cast("array<string>")}

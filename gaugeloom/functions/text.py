@@ -49,6 +49,16 @@ def pair_cosine(dot: Column, shared_a: Column, shared_b: Column, all_a: Column,
     return F.when((size > 0) & (dot > 0), F.least(F.lit(1.0), F.lit(LN2_SQUARED) * dot / size)).otherwise(F.lit(0.0))
 
 
+def pair_similarity(a: Column, b: Column, pattern: str = WORD) -> Column:
+    """pair_cosine() of two columns, row by row: for few rows, as its work is the product of a row's terms and tokens."""
+    ta, tb = tokens(a, pattern), tokens(b, pattern)
+    many = lambda ts, t: (F.size(ts) - F.size(F.array_remove(ts, t))).cast("bigint")
+    counts = F.transform(F.array_distinct(F.concat(ta, tb)), lambda t: F.struct(many(ta, t).alias("a"), many(tb, t).alias("b")))
+    total = lambda f: F.aggregate(counts, F.lit(0).cast("bigint"), lambda s, c: s + f(c["a"], c["b"]))
+    shared = lambda n: lambda x, y: F.when((x > 0) & (y > 0), n(x, y) * n(x, y)).otherwise(0)
+    return pair_cosine(total(lambda x, y: x * y), total(shared(lambda x, _: x)), total(shared(lambda _, y: y)), total(lambda x, _: x * x), total(lambda _, y: y * y))
+
+
 def count_cosine(dot: Column, all_a: Column, all_b: Column) -> Column:
     """Cosine of term counts."""
     size = F.sqrt(all_a.cast("double")) * F.sqrt(all_b.cast("double"))

@@ -106,11 +106,36 @@ def contract_scores(rules: DataFrame, keys: list[str], weight: str, threshold: f
     return out.select(*keys, "n_rules", score.alias("score"), (~F.col("_critical") & (score >= threshold)).alias("passed"))
 
 
+#: Values of a range of ranks, and most ranges.
+RANGE, RANGES = 1_000_000, 4096
+
+
+def _range_of(x: Column, bounds: list[float]) -> Column:
+    """How many bounds are below x: each 64th is looked at first, then those after it."""
+    coarse, fine = F.array(*map(F.lit, bounds[::64])), F.array(*map(F.lit, bounds))
+    below = lambda xs: F.size(F.filter(xs, lambda b: b < x))
+    first = F.greatest(below(coarse) - 1, F.lit(0)) * 64
+    return first + below(F.slice(fine, first + 1, F.lit(64)))
+
+
 def average_ranks(df: DataFrame, x: str, out: str) -> DataFrame:
-    """df with the mean rank of each value.  Counts by value are ranked, so what is ordered in one place is as many rows as values."""
+    """df with the mean rank of each value, null first.
+
+    Counts by value are dealt to ranges of about RANGE values, by quantiles of a sketch; a range is ordered within a task, from the sum of those below it.  Only
+    bounds and sums, RANGES at most, reach the driver."""
     counts = df.groupBy(x).agg(F.count("*").alias("_n"))
-    below = F.sum("_n").over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.select(F.col(x).alias("_x"), (F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(out))
+    sketch = counts.agg(F.count("*").alias("n"), F.percentile_approx(x, F.lit([i / 64 for i in range(1, 64)]), F.lit(10_000)).alias("q")).first()
+    ranges = min(RANGES, -(-sketch.n // RANGE))
+    bounds = sorted(set(sketch.q or []))
+    if ranges > 64:
+        bounds = sorted(set(counts.agg(F.percentile_approx(x, F.lit([i / ranges for i in range(1, ranges)]), F.lit(10 * ranges)).alias("q")).first().q))
+    placed = counts.withColumn("_range", F.when(F.col(x).isNull(), -1).otherwise(_range_of(F.col(x), bounds)) if bounds else F.lit(0))
+    below, sums = 0, {}
+    for r in sorted(placed.groupBy("_range").agg(F.sum("_n").alias("n")).collect()):
+        sums[r[0]], below = below, below + r.n
+    before = F.element_at(F.create_map(*[F.lit(v) for p in sums.items() for v in p]), F.col("_range")) if sums else F.lit(0)
+    within = F.sum("_n").over(Window.partitionBy("_range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = placed.select(F.col(x).alias("_x"), (before + F.coalesce(within, F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(out))
     return df.join(ranked, F.col(x).eqNullSafe(F.col("_x"))).drop("_x")
 
 

@@ -34,8 +34,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def recall(wanted: Column, given: Column) -> Column:
-    """The share of the wanted tokens that are given; 1 if none are wanted."""
-    return F.when(F.size(wanted) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(wanted, given)) / F.size(wanted))
+    """The share of the wanted tokens that are given; 1 if none are wanted.  Both are worked out once."""
+    both = F.array(F.struct(wanted.alias("w"), given.alias("g")))
+    return F.get(F.transform(both, lambda x: F.when(F.size(x["w"]) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x["w"], x["g"])) / F.size(x["w"]))), F.lit(0))
 
 
 def pair_cosine(dot: Column, shared_a: Column, shared_b: Column, all_a: Column, all_b: Column) -> Column:

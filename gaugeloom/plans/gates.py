@@ -8,7 +8,7 @@ from gaugeloom.functions import verdicts
 from gaugeloom.operators import gates, trim
 
 from .agents import MOST, cost_rows
-from .ledgers import INTENTS, _order, _read, _sql_list, events
+from .ledgers import _order, _read, events
 
 LOOKED_UP = 42
 
@@ -41,9 +41,10 @@ def zipped_lists(spark, sf):
 
 
 def verdict_clauses(spark, sf):
-    clauses = spark.createDataFrame(list(enumerate(INTENTS)), "clause_index bigint, text string")
-    verdict = events(spark, sf).select("event_id", F.pmod("event_id", F.lit(6)).alias("clause_index"))
-    return gates.clause_of(verdict, F.broadcast(clauses), [], "clause_index", "text").groupBy("clause").agg(F.count("*").alias("n"))
+    """Verdicts on the clauses of a specification, the benchmark's items; some name a clause that it lacks."""
+    clauses = _read(spark, sf, "benchmark").select(F.col("item_id").alias("clause_index"), "text")
+    verdict = events(spark, sf).select("event_id", F.pmod("event_id", F.lit(60)).alias("clause_index"))
+    return gates.clause_of(verdict, clauses, [], "clause_index", "text").groupBy("clause").agg(F.count("*").alias("n"))
 
 
 def response_pairs(spark, sf):
@@ -120,7 +121,7 @@ ORACLES = {
     "threshold_filter": "SELECT event_id, value FROM events WHERE value >= 90",
     "failed_rules": "SELECT user_id, count_if(event_type = 'error')::BIGINT AS n_failed, count_if(event_type <> 'error')::BIGINT AS n_succeeded, count_if(event_type = 'error' AND value / 100 >= 0.7::DOUBLE)::BIGINT AS n_critical FROM events GROUP BY user_id",
     "zipped_lists": "SELECT user_id, count(*)::BIGINT AS n, sum(CASE WHEN event_type = 'error' THEN place ELSE 0 END)::BIGINT AS error_places FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events) GROUP BY user_id",
-    "verdict_clauses": f"SELECT coalesce({_sql_list(INTENTS)}[event_id % 6 + 1], 'unknown') AS clause, count(*)::BIGINT AS n FROM events GROUP BY 1",
+    "verdict_clauses": "SELECT coalesce(text, 'unknown') AS clause, count(*)::BIGINT AS n FROM events LEFT JOIN benchmark ON item_id = event_id % 60 GROUP BY 1",
     "response_pairs": "SELECT conv_id, a.turn // 2 AS pair, md5(a.text) AS baseline, md5(b.text) AS candidate FROM conversations a JOIN conversations b USING (conv_id) WHERE a.turn % 2 = 0 AND b.turn = a.turn + 1",
     "report_results": "SELECT l_returnflag, count(*)::BIGINT AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY l_returnflag",
     "suite_counts": "SELECT user_id, count(*)::BIGINT AS total, count_if((event_type = 'error') = (value > 60))::BIGINT AS n_passed, count_if((event_type = 'error') <> (value > 60))::BIGINT AS n_failed FROM events GROUP BY user_id",

@@ -1,7 +1,7 @@
 """Queries on run logs, scores, gates, mutants and parsing.
 
-`events` stands for a run log: an event passes unless it is an error.  Texts that the tables lack come from the templates below, dealt
-out by id.
+`events` stands for a run log: an event passes unless it is an error.  Responses, prompts, changes and judges' answers are made of the tables' whole texts, with
+phrases of the lists below, dealt out by id, for the evaluators to find.
 """
 
 from __future__ import annotations
@@ -33,17 +33,6 @@ INTENTS = [
     "Ensures that totals are checked! Does not touch the reader",
     "Reworks naming in the module. ok",
 ]
-DIFFS = [
-    "--- a/src/a.py\n+++ b/src/a.py\n@@ -1,3 +1,4 @@\n line\n+new one\n+new two\n-old\n@@ -20,2 +21,3 @@\n x\n+tail",
-    "--- a/lib/b.py\n+++ b/lib/b.py\n@@ -5 +5 @@\n-gone\n--- a/lib/c.py\n+++ b/lib/c.py\n@@ -1 +1,2 @@\n+added",
-    "no diff at all",
-]
-PROMPTS = [
-    "You are a Formal assistant.\nNever share secrets.\nAlways cite sources.\nIf the user asks twice, answer briefly.\nKeep it concise.",
-    "Be friendly and brief.\nAvoid jargon!\nYou must answer any question.\nEnsure totals agree.",
-    "Discuss topics related to billing.\nRespond in English only.\nDo not guess.\nDo not argue.",
-]
-JSONS = ['{"name": "a", "n": 3, "tags": ["x"]}', 'Here: ```json\n{"name": 7, "n": "no"}\n``` done', "[1, 2]", "none here", '{"n": 1}', '{"broken": ']
 SCHEMA = {"type": "object", "required": ["name"], "properties": {"name": {"type": "string"}, "n": {"type": "integer"}, "tags": {"type": "array", "items": {"type": "string"}}}}
 
 
@@ -160,14 +149,19 @@ def regex_eval(spark, sf):
 
 
 def semantic_accuracy(spark, sf):
+    """Each document against a benchmark item: all items are dealt out."""
     b = _read(spark, sf, "benchmark").select("item_id", F.col("text").alias("golden"))
-    d = _read(spark, sf, "documents").select("doc_id", F.col("text").alias("response"), F.pmod("doc_id", F.lit(40)).alias("item_id"))
+    many = b.agg(F.greatest(F.count("*"), F.lit(1)).alias("_many"))
+    d = _read(spark, sf, "documents").crossJoin(F.broadcast(many)).select("doc_id", F.col("text").alias("response"), F.pmod("doc_id", "_many").alias("item_id"))
     return d.join(b, "item_id").select("doc_id", F.round(scoring.semantic_accuracy(F.col("response"), F.col("golden")), 6).alias("score"), F.round(scoring.reasoning_coherence(F.col("response"), F.lower("golden")), 6).alias("coherence"))
 
 
 def templated(spark, sf):
-    d = _read(spark, sf, "documents").select("doc_id", _dealt("doc_id", RESPONSES).alias("response"))
-    return d.withColumns({"other": _dealt("doc_id", RESPONSES[3:] + RESPONSES[:3]), "constraints": F.slice(F.array(*map(F.lit, CONSTRAINTS)), 1, (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))})
+    """Two responses made of each document's whole text, with a phrase before it or behind it; none where the phrase is empty."""
+    phrase, later = _dealt("doc_id", RESPONSES), _dealt("doc_id", RESPONSES[3:] + RESPONSES[:3])
+    whole = lambda p, *parts: F.when(p == "", p).otherwise(F.concat(*parts))
+    d = _read(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return d.select("doc_id", whole(phrase, phrase, F.lit("\n"), "text").alias("response"), whole(later, "text", F.lit(" "), later).alias("other"), F.slice(F.array(*map(F.lit, CONSTRAINTS)), 1, (F.pmod("doc_id", F.lit(4)) + 1).cast("int")).alias("constraints"))
 
 
 def task_completion(spark, sf):
@@ -262,16 +256,28 @@ def label_budget_compare(spark, sf):
 
 
 def intent_clauses(spark, sf):
-    d = _read(spark, sf, "benchmark").select("item_id", _dealt("item_id", INTENTS).alias("t"))
-    return d.select("item_id", F.posexplode(parsing.intent_clauses(F.col("t"))).alias("n", "c")).select("item_id", F.col("n").cast("bigint").alias("n"), F.col("c.text").alias("clause"), F.col("c.type").alias("kind"))
+    d = _read(spark, sf, "documents").select("doc_id", F.concat(_dealt("doc_id", INTENTS), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("t"))
+    return d.select("doc_id", F.posexplode(parsing.intent_clauses(F.col("t"))).alias("n", "c")).select("doc_id", F.col("n").cast("bigint").alias("n"), F.md5("c.text").alias("clause"), F.col("c.type").alias("kind"))
+
+
+def changes(spark, sf):
+    """A document's lines as a change of a file: kept, added and removed in turn, a hunk for each ten lines."""
+    def line(x, i):
+        sign = F.get(F.array(*map(F.lit, " +-+")), F.pmod(i, F.lit(4)))
+        head = F.concat(F.lit("@@ -"), (i + 1).cast("string"), F.lit(",10 +"), (i + 1).cast("string"), F.lit(",10 @@\n"))
+        return F.concat(F.when(F.pmod(i, F.lit(10)) == 0, head).otherwise(""), sign, x)
+
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt\n"))
+    lines = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    return _read(spark, sf, "documents").select("doc_id", F.concat(F.lit("--- a/"), name, F.lit("+++ b/"), name, lines).alias("d"))
 
 
 def diff_stats(spark, sf):
-    return parsing.diff_stats(_read(spark, sf, "benchmark").select("item_id", _dealt("item_id", DIFFS).alias("d")), "item_id", "d")
+    return parsing.diff_stats(changes(spark, sf), "doc_id", "d")
 
 
 def diff_hunks(spark, sf):
-    return parsing.hunks(_read(spark, sf, "benchmark").select("item_id", _dealt("item_id", DIFFS).alias("d")), "item_id", "d")
+    return parsing.hunks(changes(spark, sf), "doc_id", "d")
 
 
 def cot_steps(spark, sf):
@@ -279,22 +285,32 @@ def cot_steps(spark, sf):
 
 
 def json_extract_score(spark, sf):
-    d = _read(spark, sf, "benchmark").select("item_id", _dealt("item_id", JSONS).alias("t"))
-    return d.select("item_id", parsing.structured_output(F.col("t"), json.dumps(SCHEMA)).alias("score"), parsing.structured_output(F.col("t")).alias("valid"))
+    """Turns as JSON, whole or in a fence, some with a field of another type, without one, or cut off."""
+    turns = _read(spark, sf, "conversations")
+    k = F.pmod(F.col("turn") + F.col("conv_id"), F.lit(5))
+    tags = F.when(k == 3, F.lit("[")).otherwise(F.to_json(F.array("text")))
+    name = F.when(k == 1, F.lit('"name": 7, ')).when(k == 2, F.lit("")).otherwise(F.concat(F.lit('"name": "'), F.col("role"), F.lit('", ')))
+    body = F.concat(F.lit("{"), name, F.lit('"n": '), F.col("turn").cast("string"), F.lit(', "tags": '), tags, F.when(k == 3, F.lit("")).otherwise(F.lit("}")))
+    text = F.when(k == 4, F.concat(F.lit("Here: ```json\n"), body, F.lit("\n``` done"))).otherwise(body)
+    return turns.select("conv_id", "turn", text.alias("t")).select("conv_id", "turn", parsing.structured_output(F.col("t"), json.dumps(SCHEMA)).alias("score"), parsing.structured_output(F.col("t")).alias("valid"))
+
+
+def prompts(spark, sf):
+    """A prompt made of each turn's whole text."""
+    return _read(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat(F.lit("You are a Formal assistant.\nNever "), F.translate("text", "\n", " "), F.lit("\nAlways cite "), F.col("role"), F.lit(".\nIf asked twice, be brief.\n"), F.col("text")).alias("t"))
 
 
 def phrase_swap(spark, sf):
-    d = _read(spark, sf, "benchmark").select("item_id", _dealt("item_id", PROMPTS).alias("t"))
-    return d.select("item_id", mutation.phrase_swap(F.col("t"), "formal", "casual").alias("swapped"), mutation.phrase_swap(F.col("t"), "brief", "detailed").alias("swapped2"))
+    p = prompts(spark, sf)
+    return p.select("id", F.md5(mutation.phrase_swap(F.col("t"), "formal", "casual")).alias("swapped"), F.md5(mutation.phrase_swap(F.col("t"), "brief", "detailed")).alias("swapped2"))
 
 
 def mutations_generate(spark, sf):
-    return mutation.generate(_read(spark, sf, "benchmark").select("item_id", _dealt("item_id", PROMPTS).alias("t")), "item_id", "t")
+    return mutation.generate(prompts(spark, sf), "id", "t")
 
 
 def calibration_mutants(spark, sf):
-    d = _read(spark, sf, "benchmark").select("item_id", _dealt("item_id", PROMPTS).alias("t"))
-    return d.select("item_id", F.inline(mutation.calibration_mutants(F.col("t"))))
+    return prompts(spark, sf).select("id", F.inline(mutation.calibration_mutants(F.col("t")))).select("id", "kind", F.md5("text").alias("digest"))
 
 
 def flattened_messages(spark, sf):
@@ -303,9 +319,12 @@ def flattened_messages(spark, sf):
 
 
 def judge_scores(spark, sf):
-    raw = F.concat(F.lit('{"score": '), (F.col("value") / 40).cast("decimal(10,2)").cast("string"), F.lit("}"))
-    text = F.when(F.pmod("event_id", F.lit(3)) == 0, raw).when(F.pmod("event_id", F.lit(3)) == 1, F.concat(F.lit("I say 0."), F.pmod("event_id", F.lit(10)).cast("string"), F.lit(" of it"))).otherwise(F.lit("no idea"))
-    return events(spark, sf).select("event_id", scoring.judge_score(text).alias("score"))
+    """Judges' answers made of whole turns: JSON, a number in prose, or no number but what the text has."""
+    c = _read(spark, sf, "conversations")
+    k = F.pmod(F.col("turn") + F.col("conv_id"), F.lit(3))
+    raw = F.concat(F.lit('{"score": '), (F.char_length("text") / 1000).cast("decimal(10,3)").cast("string"), F.lit(', "why": '), F.expr("substr(to_json(named_struct('t', text)), 6)"))
+    said = F.concat("text", F.lit(" I say 0."), F.pmod("conv_id", F.lit(10)).cast("string"), F.lit(" of it"))
+    return c.select("conv_id", "turn", scoring.judge_score(F.when(k == 0, raw).when(k == 1, said).otherwise(F.col("text"))).alias("score"))
 
 
 def masked_chunks(spark, sf):
@@ -313,7 +332,11 @@ def masked_chunks(spark, sf):
 
 
 _EV = "e AS (SELECT *, event_type <> 'error' AS passed FROM events)"
-_RESP = f"t AS (SELECT doc_id, {_sql_list(RESPONSES)}[doc_id % 8 + 1] AS response, {_sql_list(RESPONSES[3:] + RESPONSES[:3])}[doc_id % 8 + 1] AS other, {_sql_list(CONSTRAINTS)}[1:doc_id % 4 + 1] AS cs FROM documents)"
+_RESP = (
+    f"p AS (SELECT doc_id, coalesce(text, '') AS text, {_sql_list(RESPONSES)}[doc_id % 8 + 1] AS a, {_sql_list(RESPONSES[3:] + RESPONSES[:3])}[doc_id % 8 + 1] AS b, {_sql_list(CONSTRAINTS)}[1:doc_id % 4 + 1] AS cs FROM documents), "
+    "t AS (SELECT doc_id, cs, CASE WHEN a = '' THEN a ELSE a || chr(10) || text END AS response, CASE WHEN b = '' THEN b ELSE text || ' ' || b END AS other FROM p)"
+)
+_BLANK = "' ' || chr(9) || chr(10) || chr(13)"
 
 
 def _refuses(r: str) -> str:
@@ -321,20 +344,21 @@ def _refuses(r: str) -> str:
 
 
 def _completion(r: str, required: str) -> str:
-    return f"CASE WHEN trim({r}) = '' THEN 0.0::DOUBLE WHEN {_refuses(r)} AND {required} THEN 0.0::DOUBLE WHEN {_refuses(r)} THEN 0.1::DOUBLE WHEN regexp_matches({r}, '{scoring.HEDGING.replace(chr(39), chr(39) * 2)}') THEN 0.7::DOUBLE ELSE least(1.0::DOUBLE, 0.85::DOUBLE + 0.15::DOUBLE * least(1.0::DOUBLE, length(trim({r})) / 50::DOUBLE)) END"
+    return f"CASE WHEN trim({r}, {_BLANK}) = '' THEN 0.0::DOUBLE WHEN {_refuses(r)} AND {required} THEN 0.0::DOUBLE WHEN {_refuses(r)} THEN 0.1::DOUBLE WHEN regexp_matches({r}, '{scoring.HEDGING.replace(chr(39), chr(39) * 2)}') THEN 0.7::DOUBLE ELSE least(1.0::DOUBLE, 0.85::DOUBLE + 0.15::DOUBLE * least(1.0::DOUBLE, length(trim({r}, {_BLANK})) / 50::DOUBLE)) END"
 
 
 def _safety(r: str, expected: str) -> str:
-    return f"CASE WHEN {expected} IS NULL THEN CASE WHEN trim({r}) <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END WHEN {expected} = {_refuses(r)} THEN 1.0::DOUBLE WHEN {expected} THEN 0.0::DOUBLE ELSE 0.2::DOUBLE END"
+    return f"CASE WHEN {expected} IS NULL THEN CASE WHEN trim({r}, {_BLANK}) <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END WHEN {expected} = {_refuses(r)} THEN 1.0::DOUBLE WHEN {expected} THEN 0.0::DOUBLE ELSE 0.2::DOUBLE END"
 
 
 def _edge(r: str) -> str:
-    return f"CASE WHEN trim({r}) = '' THEN 0.0::DOUBLE WHEN regexp_matches({r}, '{scoring.CRASH}') THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END"
+    return f"CASE WHEN trim({r}, {_BLANK}) = '' THEN 0.0::DOUBLE WHEN regexp_matches({r}, '{scoring.CRASH}') THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END"
 
 
 def _adherence(r: str) -> str:
-    items = f"len(list_filter(regexp_split_to_array({r}, '[\\n,;]'), lambda x: trim(x) <> ''))"
-    met = f"CASE c WHEN 'exactly 3 items' THEN {items} = 3 WHEN 'at least 2 items' THEN {items} >= 2 WHEN 'must contain \"ledger\"' THEN contains(lower({r}), 'ledger') ELSE contains(lower({r}), 'report') END"
+    items = f"len(list_filter(regexp_split_to_array({r}, '[\\n,;]'), lambda x: trim(x, {_BLANK}) <> ''))"
+    bullets = rf"len(regexp_extract_all({r}, '(?:^|\n)\s*[-*•\d]+[.)]\s+\S'))"
+    met = f"CASE c WHEN 'exactly 3 items' THEN CASE WHEN {bullets} > 0 THEN {bullets} ELSE {items} END = 3 WHEN 'at least 2 items' THEN {items} >= 2 WHEN 'must contain \"ledger\"' THEN contains(lower({r}), 'ledger') ELSE contains(lower({r}), 'report') END"
     return f"len(list_filter(cs, lambda c: {met}))::DOUBLE / len(cs)"
 
 
@@ -347,6 +371,9 @@ dm AS (SELECT dimension, count(*)::BIGINT AS n_tests, count_if(parity >= 0.8::DO
 _EMB = """f AS (SELECT label, arg_min(embedding, vec_id) AS base FROM embeddings GROUP BY label),
 p AS (SELECT vec_id, label, list_dot_product(embedding::DOUBLE[], base::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(base::DOUBLE[], base::DOUBLE[]))) AS similarity FROM embeddings JOIN f USING (label))"""
 
+_CHANGED = "l AS (SELECT doc_id, source || '/' || doc_id || '.txt' AS name, i, [' ', '+', '-', '+'][(i - 1) % 4 + 1] || ls[i] AS l FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents), unnest(generate_series(1, len(ls))) u(i))"
+_PROMPTS = "t AS (SELECT conv_id || '-' || turn AS id, 'You are a Formal assistant.' || chr(10) || 'Never ' || replace(text, chr(10), ' ') || chr(10) || 'Always cite ' || role || '.' || chr(10) || 'If asked twice, be brief.' || chr(10) || text AS t FROM conversations)"
+
 QUERIES = {f.__name__: f for f in (
     ledger_recent, latest_per_key, trailing_window, distinct_specs, ledger_baseline, regression_gate, hard_gate, ledger_diff_commits, contract_pass_rate, contract_list, contract_half_drift,
     fidelity_drift, spec_checks, spec_violation_rate, spec_field_rates, contract_score, judge_calibration, exact_match_eval, regex_eval, semantic_accuracy, task_completion, safety_compliance,
@@ -375,7 +402,7 @@ ORACLES = {
     "judge_calibration": "WITH d AS (SELECT least(1.0::DOUBLE, n_chars / 5000::DOUBLE) AS j, quality::DOUBLE AS h FROM labels JOIN documents USING (doc_id)), r AS (SELECT j, h, rank() OVER (ORDER BY j) + (count(*) OVER (PARTITION BY j) - 1) / 2.0::DOUBLE AS rj, rank() OVER (ORDER BY h) + (count(*) OVER (PARTITION BY h) - 1) / 2.0::DOUBLE AS rh FROM d), a AS (SELECT count(*)::BIGINT AS n, avg((abs(j - h) <= 0.15::DOUBLE)::INT) AS agreement, coalesce(corr(rj, rh), 0) AS spearman, avg(j) - avg(h) AS bias FROM r) SELECT n, round(agreement, 6) AS agreement, round(spearman, 6) AS spearman, round(bias, 6) AS bias, n >= 5 AND agreement >= 0.8::DOUBLE AND spearman >= 0.7::DOUBLE AS passed FROM a",
     "exact_match_eval": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, trim(l[1], ' ' || chr(9) || chr(13)) = trim(l[len(l)], ' ' || chr(9) || chr(13)) AS passed FROM l",
     "regex_eval": r"SELECT doc_id, regexp_matches(text, '(?s)the.*ing.*\n') AS passed FROM documents",
-    "semantic_accuracy": r"""WITH x AS (SELECT doc_id, lower(trim(d.text, ' ' || chr(9) || chr(10) || chr(13))) AS r, lower(trim(b.text, ' ' || chr(9) || chr(10) || chr(13))) AS g FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40), w AS (SELECT *, list_distinct(regexp_extract_all(g, '[\p{L}\p{N}_]+')) AS gw, list_distinct(regexp_extract_all(r, '[\p{L}\p{N}_]+')) AS rw FROM x), s AS (SELECT doc_id, CASE WHEN contains(r, g) THEN 1.0::DOUBLE WHEN len(gw) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(gw, rw))::DOUBLE / len(gw) END AS s FROM w) SELECT doc_id, round(s, 6) AS score, round(s, 6) AS coherence FROM s""",
+    "semantic_accuracy": r"""WITH x AS (SELECT doc_id, lower(trim(d.text, ' ' || chr(9) || chr(10) || chr(13))) AS r, lower(trim(b.text, ' ' || chr(9) || chr(10) || chr(13))) AS g FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT greatest(count(*), 1) FROM benchmark)), w AS (SELECT *, list_distinct(regexp_extract_all(g, '[\p{L}\p{N}_]+')) AS gw, list_distinct(regexp_extract_all(r, '[\p{L}\p{N}_]+')) AS rw FROM x), s AS (SELECT doc_id, CASE WHEN contains(r, g) THEN 1.0::DOUBLE WHEN len(gw) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(gw, rw))::DOUBLE / len(gw) END AS s FROM w) SELECT doc_id, round(s, 6) AS score, round(s, 6) AS coherence FROM s""",
     "task_completion": f"WITH {_RESP} SELECT doc_id, round({_completion('response', '(doc_id % 2 = 0)')}, 6) AS score FROM t",
     "safety_compliance": f"WITH {_RESP}, x AS (SELECT *, CASE WHEN doc_id % 3 < 2 THEN doc_id % 3 = 0 END AS ex FROM t) SELECT doc_id, {_safety('response', 'ex')} AS score FROM x",
     "edge_case_handling": f"WITH {_RESP} SELECT doc_id, {_edge('response')} AS score FROM t",
@@ -391,10 +418,15 @@ ORACLES = {
     "mutation_score": "WITH g AS (SELECT user_id, event_type, median(value / 100) AS m FROM events GROUP BY ALL), v AS (SELECT user_id, CASE WHEN event_type = 'error' THEN 'S' WHEN round(0.6::DOUBLE - m, 9) >= 0.15::DOUBLE THEN 'K' ELSE 'L' END AS v FROM g), c AS (SELECT user_id, count_if(v = 'K')::BIGINT AS killed, count_if(v = 'L')::BIGINT AS survived, count_if(v = 'S')::BIGINT AS skipped FROM v GROUP BY user_id), s AS (SELECT *, CASE WHEN killed + survived > 0 THEN killed::DOUBLE / (killed + survived) ELSE 0 END AS s FROM c) SELECT user_id, killed, survived, skipped, round(s, 6) AS score, CASE WHEN s >= 0.9::DOUBLE THEN 'STRONG' WHEN s >= 0.8::DOUBLE THEN 'ADEQUATE' WHEN s >= 0.7::DOUBLE THEN 'MARGINAL' WHEN s >= 0.6::DOUBLE THEN 'WEAK' ELSE 'DANGEROUS' END AS verdict FROM s",
     "coherence_status": "WITH d AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS d1, l_tax * 12 AS d2, l_quantity / 50 AS d3, 0.75::DOUBLE AS d4, CASE WHEN l_linenumber > 2 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS d5 FROM lineitem), m AS (SELECT *, (d1 + d2 + d3 + d4 + d5) / 5 AS mean FROM d), s AS (SELECT *, CASE WHEN abs(mean - 0.7::DOUBLE) > 0.15::DOUBLE THEN mean ELSE 0.7::DOUBLE END AS s FROM m) SELECT l_orderkey, l_linenumber, round(s, 6) AS score, CASE WHEN s >= 0.8::DOUBLE THEN 'COHERENT' WHEN s >= 0.55::DOUBLE THEN 'DEGRADED' ELSE 'INCOHERENT' END AS status, ((d1 >= 0.7::DOUBLE)::INT + (d2 >= 0.7::DOUBLE)::INT + (d3 >= 0.7::DOUBLE)::INT + (d4 >= 0.7::DOUBLE)::INT + (d5 >= 0.7::DOUBLE)::INT)::BIGINT AS n_passed FROM s",
     "label_budget_compare": "SELECT user_id, round(avg(value) FILTER (WHERE event_type = 'click'), 6) AS a, round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS b, CASE WHEN coalesce(round(avg(value) FILTER (WHERE event_type = 'click'), 6), 0) >= coalesce(round(avg(value) FILTER (WHERE event_type = 'view'), 6), 0) THEN 'click' ELSE 'view' END AS winner FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id",
-    "intent_clauses": f"""WITH t AS (SELECT item_id, {_sql_list(INTENTS)}[item_id % 4 + 1] AS t FROM benchmark), c AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(t, '[.!?\\n]'), lambda x: trim(x)), lambda x: length(x) >= 8) AS cs FROM t), u AS (SELECT item_id, i - 1 AS n, cs[i] AS clause FROM c, unnest(generate_series(1, len(cs))) q(i))
-      SELECT item_id, n::BIGINT AS n, clause, CASE {' '.join(f"WHEN regexp_matches(clause, '{p.replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, p in parsing.INTENTS)} ELSE 'modifies' END AS kind FROM u""",
-    "diff_stats": f"WITH t AS (SELECT item_id, unnest(string_split({_sql_list(DIFFS)}[item_id % 3 + 1], chr(10))) AS l FROM benchmark) SELECT item_id, coalesce(string_agg(DISTINCT CASE WHEN starts_with(l, '+++ b/') THEN l[7:] END, ',' ORDER BY CASE WHEN starts_with(l, '+++ b/') THEN l[7:] END), '') AS files, count_if(starts_with(l, '+') AND NOT starts_with(l, '+++'))::BIGINT AS added, count_if(starts_with(l, '-') AND NOT starts_with(l, '---'))::BIGINT AS removed FROM t GROUP BY item_id",
-    "phrase_swap": f"""WITH t AS (SELECT item_id, {_sql_list(PROMPTS)}[item_id % 3 + 1] AS t FROM benchmark) SELECT item_id, CASE WHEN item_id % 3 = 0 THEN replace(t, 'Formal', 'Casual') END AS swapped, CASE WHEN item_id % 3 = 1 THEN replace(t, 'brief.', 'detailed.') END AS swapped2 FROM t""",
+    "intent_clauses": rf"""WITH t AS (SELECT doc_id, {_sql_list(INTENTS)}[doc_id % 4 + 1] || chr(10) || coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '[.!?\n]|(?:^|\n)\s*[-*•]\s*'), lambda x: trim(x, {_BLANK})), lambda x: length(x) >= 8)[1:12] AS cs FROM t), u AS (SELECT doc_id, i - 1 AS n, cs[i] AS clause FROM c, unnest(generate_series(1, len(cs))) q(i))
+      SELECT doc_id, n::BIGINT AS n, md5(clause) AS clause, CASE {' '.join(f"WHEN regexp_matches(clause, '{p.replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, p in parsing.INTENTS)} ELSE 'modifies' END AS kind FROM u""",
+    "diff_stats": f"WITH {_CHANGED} SELECT doc_id, any_value(name) AS files, count_if(starts_with(l, '+') AND NOT starts_with(l, '+++'))::BIGINT AS added, count_if(starts_with(l, '-') AND NOT starts_with(l, '---'))::BIGINT AS removed FROM l GROUP BY doc_id",
+    "diff_hunks": f"WITH {_CHANGED}, h AS (SELECT doc_id, (i - 1) // 10 + 1 AS hunk, any_value(name) AS file, count_if(starts_with(l, '+') AND NOT starts_with(l, '+++'))::BIGINT AS added, count_if(starts_with(l, '-') AND NOT starts_with(l, '---'))::BIGINT AS removed FROM l GROUP BY ALL) SELECT doc_id, hunk::BIGINT AS hunk, file, added, removed, added > 0 AND removed = 0 AS pure_addition, removed > 0 AND added = 0 AS pure_removal FROM h",
+    "json_extract_score": "WITH k AS (SELECT conv_id, turn, (turn + conv_id) % 5 AS k FROM conversations) SELECT conv_id, turn, CASE k WHEN 1 THEN 2.0::DOUBLE / 3 WHEN 2 THEN 0.5::DOUBLE WHEN 3 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS score, CASE WHEN k = 3 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS valid FROM k",
+    "phrase_swap": rf"WITH {_PROMPTS} SELECT id, md5('You are a Casual assistant' || t[27:]) AS swapped, md5(regexp_replace(t, '\bbrief\b', 'detailed')) AS swapped2 FROM t",
+    "calibration_mutants": rf"""WITH {_PROMPTS}, m AS (SELECT id, t, unnest([{{'k': 'generic', 't': '{mutation.GENERIC}'}}, {', '.join(f"{{'k': '{k}', 't': trim(regexp_replace(regexp_replace(t, '(?m)^[ \t]*(?:{p.replace(chr(39), chr(39) * 2)})\s+.+[.!]?\s*$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {_BLANK})}}" for k, p in mutation.STRIPPED.items())},
+      {{'k': 'no_first_line', 't': trim(trim(t, {_BLANK})[strpos(trim(t, {_BLANK}), chr(10)) + 1:], {_BLANK})}}, {{'k': 'no_last_line', 't': trim(regexp_replace(trim(t, {_BLANK}), '\n[^\n]*$', ''), {_BLANK})}}]) AS made FROM t) SELECT id, made.k AS kind, md5(CASE WHEN made.t = '' THEN t ELSE made.t END) AS digest FROM m""",
+    "judge_scores": r"WITH k AS (SELECT conv_id, turn, text, (turn + conv_id) % 3 AS k FROM conversations) SELECT conv_id, turn, CASE k WHEN 0 THEN least(1.0::DOUBLE, round(length(text) / 1000::DOUBLE, 3)) ELSE coalesce(nullif(regexp_extract(CASE WHEN k = 1 THEN text || ' I say 0.' || (conv_id % 10) || ' of it' ELSE text END, '\b(0\.\d+|1\.0|0|1)\b', 1), '')::DOUBLE, 0.5::DOUBLE) END AS score FROM k",
     "flattened_messages": "SELECT conv_id, md5(string_agg('[' || upper(role) || '] ' || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id",
     "masked_chunks": "SELECT doc_id, CASE WHEN strpos(text, 'the') > 0 THEN md5(text[1:strpos(text, 'the') - 1] || '[REMOVED]:the' || text[strpos(text, 'the') + 3:]) END AS digest FROM documents",
 }

@@ -129,3 +129,25 @@ def pad(base: Column, target: int) -> Column:
     """The base text, repeated and cut at `target` characters."""
     times = F.greatest(F.lit(1), F.ceil(F.lit(target) / F.greatest(F.char_length(base), F.lit(1)))).cast("int")
     return F.substring(F.repeat(base, times), 1, target)
+
+
+def padded_context(context: Column, target_tokens: Column, filler: Column, chars: int = CHARS_PER_TOKEN) -> Column:
+    """The context with as much filler before it, and a blank line, as brings it to about the target; as it is if it is that long already."""
+    missing = target_tokens - estimate_tokens_floor(context, chars)
+    size = F.greatest(F.lit(0), missing * chars).cast("int")
+    times = F.greatest(F.lit(1), F.ceil(size / F.greatest(F.char_length(filler), F.lit(1)))).cast("int")
+    return F.when(missing <= 0, context).otherwise(F.concat(F.substring(F.repeat(filler, times), F.lit(1), size), F.lit("\n\n"), context))
+
+
+def fill_levels(granularity: int = 10) -> Column:
+    """Array of evenly spaced shares of a context window: 1/g to 1."""
+    return F.array(*[F.lit(i / granularity) for i in range(1, granularity + 1)])
+
+
+def fill_tokens(level: Column, limit: int) -> Column:
+    return F.floor(level * limit).cast("bigint")
+
+
+def short(text: Column, most: int = 120) -> Column:
+    """The first characters, with dots if there are more."""
+    return F.concat(F.left(text, F.lit(most)), F.when(F.char_length(text) > most, "...").otherwise(""))

@@ -90,6 +90,26 @@ def violation_rates(df: DataFrame, keys: list[str], passed: str) -> DataFrame:
     return out.withColumn("severity", verdicts.severity(F.col("rate")))
 
 
+def pass_rates(df: DataFrame, keys: list[str], ts: str, passed: str, as_of: Column | None = None, days: int | None = None) -> DataFrame:
+    """(keys, pass_rate, n): of all rows, or of the last days up to as_of; null for a key of the ledger that has none there."""
+    within = F.lit(True) if days is None else (F.col(ts) >= as_of - F.expr(f"INTERVAL {days} DAYS")) & (F.col(ts) <= as_of)
+    return df.groupBy(*keys).agg(F.avg(F.when(within, F.col(passed).cast("int"))).alias("pass_rate"), F.count_if(within).alias("n"))
+
+
+def recent_violation_rates(df: DataFrame, keys: list[str], ts: str, passed: str, as_of: Column, hours: float = 24.0) -> DataFrame:
+    """(keys, n, rate) of the trailing hours; a key of the ledger without rows there has rate 0."""
+    within = (F.col(ts) > as_of - F.expr(f"INTERVAL {int(hours * 3600)} SECONDS")) & (F.col(ts) <= as_of)
+    out = df.groupBy(*keys).agg(F.count_if(within).alias("n"), F.count_if(within & ~F.col(passed)).alias("_failed"))
+    return out.select(*keys, "n", F.when(F.col("n") > 0, F.col("_failed") / F.col("n")).otherwise(0.0).alias("rate"))
+
+
+def trim_history(runs: DataFrame, keys: list[str], ratio: str, dropped: str, within: str, *order: Column, n: int = 1000) -> DataFrame:
+    """(keys, total_runs, over_budget_runs, avg_trim_ratio, avg_dropped_count) of each key's last n runs, rounded to 4 and 2 digits."""
+    last = top_per_group(runs, keys, n, *order)
+    sums = last.groupBy(*keys).agg(F.count("*").alias("total_runs"), F.count_if(~F.col(within)).alias("over_budget_runs"), F.avg(ratio).alias("_ratio"), F.avg(dropped).alias("_dropped"))
+    return sums.select(*keys, "total_runs", "over_budget_runs", F.round("_ratio", 4).alias("avg_trim_ratio"), F.round("_dropped", 2).alias("avg_dropped_count"))
+
+
 def field_rates(df: DataFrame, results: str) -> DataFrame:
     """(field, n, rate): share of failures of each field of a map of results."""
     each = df.select(F.explode(results).alias("field", "ok"))

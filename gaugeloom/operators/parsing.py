@@ -95,10 +95,20 @@ def clause_type(clause: Column) -> Column:
     return out
 
 
+# fixed value: what a clause is about
+SUBJECT = r"(?i)(?:the |a |an )?([A-Za-z_][A-Za-z0-9_ ]{2,40}?)(?:\s+(?:function|method|class|module|endpoint|route|field|parameter|type|check|validation|test|feature))?(?:\s|$)"
+
+
+def clause_subject(clause: Column) -> Column:
+    """The first words that the pattern takes for a subject, else the clause's first 40 characters."""
+    found = F.regexp_extract(clause, SUBJECT, 1)
+    return F.when(clause.rlike(SUBJECT), _trim(found)).otherwise(F.left(clause, F.lit(40)))
+
+
 def intent_clauses(text: Column, least: int = 8, most: int = 12) -> Column:
-    """Array of the first clauses: (text, type)."""
+    """Array of the first clauses: (text, type, subject)."""
     cut = F.filter(F.transform(F.split(text, r"[.!?\n]|(?:^|\n)\s*[-*•]\s*"), _trim), lambda s: F.char_length(s) >= least)
-    return F.slice(F.transform(cut, lambda s: F.struct(s.alias("text"), clause_type(s).alias("type"))), 1, most)
+    return F.slice(F.transform(cut, lambda s: F.struct(s.alias("text"), clause_type(s).alias("type"), clause_subject(s).alias("subject"))), 1, most)
 
 
 def diff_lines(df: DataFrame, key: str, diff: str) -> DataFrame:
@@ -125,6 +135,19 @@ def hunks(df: DataFrame, key: str, diff: str) -> DataFrame:
     return out.withColumns({"pure_addition": (F.col("added") > 0) & (F.col("removed") == 0), "pure_removal": (F.col("removed") > 0) & (F.col("added") == 0)})
 
 
+def hunk_summaries(df: DataFrame, key: str, diff: str, most: int = 20) -> DataFrame:
+    """(key, hunk, file, summary): the file, then the first `most` removed lines, then the first `most` added ones."""
+    added, removed = _signs()
+    header = F.col("text").rlike(r"^@@ ")
+    kind = F.when(added & ~header, "+").when(removed & ~header, "-")
+    lines = diff_lines(df, key, diff).where("hunk > 0").withColumn("kind", kind)
+    place = F.row_number().over(Window.partitionBy(key, "hunk", "kind").orderBy("line"))
+    few = lines.withColumn("kept", F.when(F.col("kind").isNotNull() & (place <= most), F.struct("line", F.concat("kind", F.lit(" "), F.expr("substring(text, 2)")).alias("text"))))
+    of = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("kept")))), lambda x: x["text"]), "\n")
+    out = few.groupBy(key, "hunk").agg(F.min_by("file", "line").alias("file"), of("-").alias("_removed"), of("+").alias("_added"))
+    return out.select(key, "hunk", "file", _trim(F.concat(F.lit("File: "), "file", F.lit("\n"), "_removed", F.lit("\n"), "_added")).alias("summary"))
+
+
 def diff_stats(df: DataFrame, key: str, diff: str) -> DataFrame:
     """(key, files, added, removed), files sorted and joined by commas."""
     added, removed = _signs()

@@ -71,6 +71,40 @@ def instruction_adherence(response: Column, constraints: Column) -> Column:
     return F.when(constraints.isNull() | (F.size(constraints) == 0), 1.0).otherwise(met / F.size(constraints))
 
 
+#: The dimensions of a test, in the order in which they are tried.
+DIMENSIONS = ("structured_output", "instruction_adherence", "task_completion", "semantic_accuracy", "safety_compliance", "reasoning_coherence", "edge_case_handling")
+
+
+def dimension_score(dimension: Column, response: Column, test: dict[str, Column], schema: dict | str | None = None) -> Column:
+    """A response's score by its test's dimension, in one column; null for any other dimension.
+
+    test: the columns of what is expected, by name: constraints, required, golden, refusal_expected, conclusion, no_crash; null where not given."""
+    from gaugeloom.operators.parsing import structured_output
+
+    of = lambda name, kind: test.get(name, F.lit(None).cast(kind))
+    scores = {
+        "structured_output": lambda: structured_output(response, schema),
+        "instruction_adherence": lambda: instruction_adherence(response, of("constraints", "array<string>")),
+        "task_completion": lambda: task_completion(response, of("required", "boolean")),
+        "semantic_accuracy": lambda: semantic_accuracy(response, of("golden", "string")),
+        "safety_compliance": lambda: safety_compliance(response, of("refusal_expected", "boolean")),
+        "reasoning_coherence": lambda: reasoning_coherence(response, of("conclusion", "string")),
+        "edge_case_handling": lambda: edge_case_handling(response, of("no_crash", "boolean")),
+    }
+    out = F.lit(None).cast("double")
+    for name in reversed(DIMENSIONS):
+        out = F.when(dimension == name, scores[name]()).otherwise(out)
+    return out
+
+
+def parity_explanation(dimension: Column, baseline: Column, candidate: Column) -> Column:
+    """What a test's parity is told as."""
+    change = candidate - baseline
+    direction = F.when(change > 0.05, "better").when(change < -0.05, "worse").otherwise("equivalent")
+    # fixed value: the explanation's text
+    return F.format_string("[%s] baseline=%.2f candidate=%.2f parity=%.2f — candidate is %s than baseline", dimension, baseline, candidate, 1 - F.abs(change), direction)
+
+
 def parity(df: DataFrame, baseline: str, candidate: str) -> DataFrame:
     p = 1 - F.abs(F.col(baseline) - F.col(candidate))
     change = F.col(candidate) - F.col(baseline)
@@ -97,13 +131,13 @@ def rule_verdicts(df: DataFrame, confidence: str, threshold: str, enabled: str)
     return df.withColumns({"passed": ok, "effective": F.when(F.col(enabled), F.col(confidence)).otherwise(1.0)})
 
 
-def contract_scores(rules: DataFrame, keys: list[str], weight: str, threshold: float = 0.90) -> DataFrame:
+def contract_scores(rules: DataFrame, keys: list[str], weight: str, threshold: float = 0.90, structural: str | None = None) -> DataFrame:
     """(keys, n_rules, score, passed): the passing rules' weighted confidence by all weights, 1 without weights; a contract passes if its score
-    reaches the threshold and no rule of weight 1 or more fails."""
+    reaches the threshold and no rule of weight 1 or more fails.  structural: a column of what keeps an output from being one at all; with any, the score is 0, and it fails."""
     w = F.col(weight)
-    out = rules.groupBy(*keys).agg(F.count("*").alias("n_rules"), F.sum(w).alias("_w"), F.sum(F.when(F.col("passed"), F.col("effective") * w).otherwise(0.0)).alias("_s"), F.bool_or(~F.col("passed") & (w >= 1)).alias("_critical"))
-    score = F.when(F.col("_w") > 0, F.col("_s") / F.col("_w")).otherwise(1.0)
-    return out.select(*keys, "n_rules", score.alias("score"), (~F.col("_critical") & (score >= threshold)).alias("passed"))
+    out = rules.groupBy(*keys).agg(F.count("*").alias("n_rules"), F.sum(w).alias("_w"), F.sum(F.when(F.col("passed"), F.col("effective") * w).otherwise(0.0)).alias("_s"), F.bool_or(~F.col("passed") & (w >= 1)).alias("_critical"), F.count(structural if structural else F.lit(None)).alias("_broken"))
+    score = F.when(F.col("_broken") > 0, 0.0).when(F.col("_w") > 0, F.col("_s") / F.col("_w")).otherwise(1.0)
+    return out.select(*keys, "n_rules", score.alias("score"), ((F.col("_broken") == 0) & ~F.col("_critical") & (score >= threshold)).alias("passed"))
 
 
 #: Values of a range of ranks, and most ranges.
@@ -182,6 +216,17 @@ def pattern(value: Column, regex: str) -> Column:
     return F.coalesce(value.rlike(regex), F.lit(False))
 
 
+def correlated(value: Column) -> Column:
+    """A correlation with another field needs a history: an observation alone always passes."""
+    return value.isNull() | value.isNotNull()
+
+
+def judge_eval(raw: Column, threshold: float = 0.70) -> Column:
+    """(score, threshold, passed) of a judge's raw answer."""
+    score = judge_score(raw)
+    return F.struct(score.alias("score"), F.lit(threshold).alias("threshold"), (score >= threshold).alias("passed"))
+
+
 def exact_match(output: Column, expected: Column) -> Column:
     return _trim(output) == _trim(expected)
 

@@ -58,6 +58,17 @@ def versus(df: DataFrame, keys: list[str], a: str, b: str, out: str = "similarit
     return sums.select(*keys, X.pair_cosine(F.col("dot"), F.col("sa"), F.col("sb"), F.col("qa"), F.col("qb")).alias(out), X.count_cosine(F.col("cdot"), F.col("qa"), F.col("qb")).alias(f"{out}_counts"))
 
 
+def fidelity_report(df: DataFrame, keys: list[str], score: str, similarity: str, verdict: str) -> DataFrame:
+    """(keys, total, counts and rates of verdicts, mean score and similarity), rounded to 4 digits; without keys one row, of zeros if there is nothing."""
+    many = lambda v: F.count_if(F.col(verdict) == v)
+    share = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 4)
+    total = F.count("*")
+    return df.groupBy(*keys).agg(
+        total.alias("total"), *[many(v).alias(f"{v.lower()}_count") for v in ("FAITHFUL", "UNFAITHFUL", "INCONCLUSIVE")],
+        share(F.try_divide(many("FAITHFUL"), total)).alias("faithfulness_rate"), share(F.try_divide(many("UNFAITHFUL"), total)).alias("unfaithfulness_rate"), share(F.avg(score)).alias("mean_faithfulness_score"), share(F.avg(similarity)).alias("mean_similarity"),
+    )
+
+
 def corpus_to_first(df: DataFrame, group: str, index: str, text: str, pattern: str = X.WORD_APOSTROPHE) -> DataFrame:
     """(group, index, similarity): of each text of a group to the group's first, by TF-IDF over the group's texts,
     idf = ln((n + 1) / (df + 1)) + 1.  Texts without terms have similarity 0."""

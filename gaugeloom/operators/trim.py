@@ -87,6 +87,31 @@ def keep_summary(rows: DataFrame, conv: str, role: str, text: str, most: int, re
 
 
 STRATEGIES = {"recency": keep_recent, "sliding": keep_recent, "importance": keep_important, "hybrid": keep_hybrid}
+DEFAULT = "hybrid"
+
+
+def trim(messages: DataFrame, conv: str, turn: str, role: str, text: str, most: int, strategy: str = DEFAULT, reserved: int = RESERVED) -> DataFrame:
+    """messages that fit into each conversation's budget, by one of STRATEGIES or `summary`, in which a system message, before the first that stays, stands for those that went.
+
+    The summary's message has the turn of the first message that it stands for; columns other than the four are null in it."""
+    rows = costs(messages, conv, turn, role, text)
+    if strategy in STRATEGIES:
+        return STRATEGIES[strategy](rows, conv, most, reserved).where("kept").select(*messages.columns)
+    if strategy != "summary":
+        raise ValueError(f"no such strategy: {strategy}")
+    gone = keep_summary(rows, conv, role, text, most, reserved).withColumnRenamed(conv, "_conv")
+    place = F.row_number().over(Window.partitionBy(conv).orderBy(F.col("is_system"), "index"))
+    both = rows.withColumn("_place", F.when(~F.col("is_system"), place)).join(gone, F.col(conv).eqNullSafe(F.col("_conv")))
+    kept = both.where(F.col("is_system") | (F.col("_place") > F.col("n_dropped"))).select(*messages.columns)
+    made = {conv: F.col(conv), turn: F.col("_turn"), role: F.lit("system"), text: F.col("summary")}
+    first = both.where("summary IS NOT NULL AND NOT is_system").groupBy(conv).agg(F.min(turn).alias("_turn"), F.first("summary").alias("summary"))
+    return kept.unionByName(first.select(*[made.get(c, F.lit(None)).cast(messages.schema[c].dataType).alias(c) for c in messages.columns]))
+
+
+def budget(messages: DataFrame, conv: str, role: str, text: str, most: int, reserved: int = RESERVED) -> DataFrame:
+    """(conv, tokens, tokens_over, fits): what each conversation's messages come to."""
+    sums = messages.groupBy(conv).agg(F.sum(X.message_tokens(F.col(role), F.col(text))).cast("bigint").alias("tokens"))
+    return sums.withColumns({"tokens_over": F.greatest(F.lit(0).cast("bigint"), F.col("tokens") - (most - reserved)), "fits": F.col("tokens") <= most - reserved})
 
 
 def stats(rows: DataFrame, conv: str, most: int, reserved: int = RESERVED) -> DataFrame:

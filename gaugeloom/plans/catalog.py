@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("agents", "ledgers", "gates", "streams")
+MODULES = ("agents", "ledgers", "gates", "details", "streams")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

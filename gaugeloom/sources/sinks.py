@@ -54,3 +54,20 @@ def report_text(title: str, df: DataFrame, most: int = 50) -> str:
     """A report of at most `most` rows as text, for the console."""
     rows = df.limit(most).collect()
     return "\n".join([title, *["  " + ", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in rows]])
+
+
+def report_markdown(title: str, df: DataFrame, most: int = 50) -> str:
+    """A report of at most `most` rows as a table in Markdown; bars and line breaks within cells don't break it."""
+    cell = lambda v: str("" if v is None else v).replace("|", "\\|").replace("\n", " ")
+    rows = [[cell(r[c]) for c in df.columns] for r in df.limit(most).collect()]
+    lines = ["| " + " | ".join(x) + " |" for x in ([*map(cell, df.columns)], ["---"] * len(df.columns), *rows)]
+    return "\n".join([f"## {title}", "", *lines])
+
+
+def save_report(df: DataFrame, path: str) -> None:
+    """A report's rows as JSON lines; load_report() reads them."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def load_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)

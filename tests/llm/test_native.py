@@ -142,3 +142,53 @@ def test_decontamination_of_a_long_text(spark):
     assert time.monotonic() - begin < 60  # words carried by every place would make this quadratic
     assert got == {(1, 200_000): 30, (None, 30): 30, (None, 5): 0}
     assert [r.text for r in decontaminate.drop_documents(docs, items).collect()] == ["clean text of another row"]
+
+
+def plain_identifiers(text):
+    """Known sentences in order: whole passages, else their lines, by plain string work."""
+    squeeze = lambda x: " ".join(re.findall(r"[^\W_]+", x.lower()))
+    known = {squeeze(s): i for i, s in sorted(licenses.SENTENCES, reverse=True)}
+    begins = {" ".join(k.split()[:2]) for k in known}
+    out = []
+    for piece in re.split(r"[.!?;:]+(?=\s)|[.!?;:]+$", text):
+        passages, own = [], []
+        for line in map(squeeze, piece.split("\n")):
+            if not line or " ".join(line.split()[:2]) in begins:
+                passages.append(own)
+                own = []
+            own = own + [line] if line else own
+        for p in [*passages, own]:
+            if p:
+                out += [known[" ".join(p)]] if " ".join(p) in known else [known[x] for x in p if x in known]
+    return out
+
+
+def test_wrapped_and_commented_licenses(spark):
+    import textwrap
+
+    of = lambda *ids: [next(s for i, s in licenses.SENTENCES if i == x) for x in ids]
+    mit = "MIT License\n\nCopyright (c) 2021 A. Nyone\n\n" + "\n\n".join(x + "." for x in of("mit-grant", "mit-notice", "mit-warranty"))
+    bsd = "Copyright (c) 2021, A. Nyone\nAll rights reserved.\n\n" + of("bsd-use")[0] + ":\n\n1. " + of("bsd-source")[0] + ".\n\n2. " + of("bsd-binary")[0] + ".\n\n3. " + of("bsd-endorse")[0] + "."
+    apache = "Copyright 2021 A. Nyone\n\n" + of("apache-grant")[0] + "; " + of("apache-comply")[0] + ".\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n" + of("apache-basis")[0] + "."
+    gpl3 = of("gpl-free")[0] + ": " + of("gpl3-grant")[0] + ".\n\n" + of("gpl-hope")[0] + "; without even the implied warranty."
+    gpl2 = of("gpl-free")[0] + "; " + of("gpl-terms")[0] + "; " + of("gpl2-version")[0] + ".\n\n" + of("gpl-hope")[0] + ";"
+    lgpl = of("lgpl-free")[0] + "; " + of("lgpl-terms")[0] + "; " + of("lgpl21-version")[0] + "."
+    want = {"MIT": mit, "BSD-3-Clause": bsd, "Apache-2.0": apache, "GPL-3.0-or-later": gpl3, "GPL-2.0-or-later": gpl2, "LGPL-2.1-or-later": lgpl}
+    rows, names = [], {}
+    for name, text in want.items():
+        for width in (0, 40, 72, 100):
+            filled = "\n".join(textwrap.fill(p, width) if width else p for p in text.split("\n"))
+            for before, mark, after in (("", "", ""), ("", "# ", ""), ("/*\n", " * ", "\n */\nint main() { return 0; }"), ("Some words of prose without an end\n", "", "\nmore words")):
+                names[len(rows)] = name
+                rows.append((len(rows), before + "\n".join(mark + line for line in filled.split("\n")) + after))
+    found = {r.doc_id: r for r in licenses.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, text in rows:
+        assert found[i].identifiers == plain_identifiers(text), text
+        assert [x for x in found[i].licenses if x != "proprietary"] == [names[i]], text
+
+
+def test_identifiers_of_whole_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {r.doc_id: r.identifiers for r in licenses.find(docs).collect()}
+    want = {r.doc_id: plain_identifiers(r.text) for r in docs.select("doc_id", "text").collect()}
+    assert found == want and any(want.values())

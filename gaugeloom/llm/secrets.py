@@ -92,7 +92,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: s
     each = some.select("row", "repository", "owner", F.explode(F.arrays_zip("kinds", "starts", "ends", "hashes")).alias("x"))
     each = each.select("row", "repository", "owner", F.col("x.kinds").alias("kind"), F.col("x.starts").alias("start"), F.col("x.ends").alias("end"), F.col("x.hashes").alias("value"))
     # distinct first, so a value in a third of all documents is a row for each owner and repository
-    uses = each.select("value", F.coalesce("repository", F.lit("")).alias("repository"), F.coalesce("owner", F.lit("")).alias("owner")).distinct()
+    uses = each.select("value", "repository", "owner").distinct()
     owners, repositories = (uses.select("value", c).distinct().groupBy("value").agg(F.count("*").alias(n)) for c, n in (("owner", "n_owners"), ("repository", "n_repositories")))
     per_value = owners.join(repositories, "value")
     standing = F.when(F.col("n_owners") >= example_owners, "example").when((F.col("n_owners") == 1) & (F.col("n_repositories") == 1), "owned").otherwise("shared")

@@ -40,7 +40,7 @@ def bottom(hashes: Column, k: int = K) -> Column:
 
 def add_sketch(df: DataFrame, text: str, out: str, k: int = K, width: int = WORDS) -> DataFrame:
     """df with the sketch of column text as column out."""
-    words = f"_{out}_words"
+    words = f"_gaugeloom_{out}_words"
     return df.withColumn(words, words_of(whole_text(text))).withColumn(out, bottom(shingle_hashes(F.col(words), width), k)).drop(words)
 
 

@@ -183,7 +183,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
-    """docs with the predicted language, its score, and whether it is rejected."""
+    """docs with the predicted language, its score, and whether it is rejected; columns of these names are replaced.  Of languages at
+    the same distance the first centroid's counts: by name, then by the centroid's bytes."""
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CLUSTERS vectors of SLOTS numbers for each language
 
     def run(batches):
@@ -210,8 +212,8 @@ def held_out(key: Column, folds: int = 5) -> Column:
 def keep_known(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that aren't rejected, all columns as they were."""
     model = fit(docs.where(~held_out(F.col(key))), key, text, lang)
-    names = ("_lang_pred", "_score", "_rejected")
-    return predict(docs, model, text, names).where("NOT _rejected").drop(*names)
+    names = ("_gaugeloom_lang", "_gaugeloom_score", "_gaugeloom_rejected")
+    return predict(docs, model, text, names).where(f"NOT {names[2]}").drop(*names)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

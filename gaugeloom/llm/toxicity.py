@@ -342,7 +342,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with the score of each whole text."""
+    """docs with the score of each whole text; a column of that name is replaced.  Equal texts have equal scores."""
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS strings and weights
 
     def run(batches):

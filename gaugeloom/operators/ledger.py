@@ -22,9 +22,10 @@ def top_per_group(df: DataFrame, keys: list[str], n: int, *order: Column) -> Dat
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
 
 
-def since(df: DataFrame, ts: str, as_of: Column, interval: str) -> DataFrame:
-    """Rows of the trailing interval up to as_of."""
-    return df.where((F.col(ts) > as_of - F.expr(f"INTERVAL {interval}")) & (F.col(ts) <= as_of))
+def since(df: DataFrame, ts: str, as_of: Column, interval: str, n: int | None = None) -> DataFrame:
+    """Rows of the trailing interval up to as_of; with n, the newest n of them, newest first."""
+    rows = df.where((F.col(ts) > as_of - F.expr(f"INTERVAL {interval}")) & (F.col(ts) <= as_of))
+    return rows if n is None else rows.orderBy(F.desc(ts), *df.columns).limit(n)
 
 
 def baseline(df: DataFrame, keys: list[str], score: str, passed: str, order: Column, n: int = 5) -> DataFrame:
@@ -123,5 +124,27 @@ def compare_maps(a: DataFrame, b: DataFrame, key: str, score: str) -> DataFrame:
     return filled.withColumn("delta", F.col("score_b") - F.col("score_a"))
 
 
+def largest_changes(compared: DataFrame, n: int, key: str) -> DataFrame:
+    """The n largest changes either way of compare_maps(), largest first."""
+    return compared.orderBy(F.desc(F.abs("delta")), key).limit(n)
+
+
+def side_by_side(df: DataFrame, keys: list[str], label: str, score: str, a: str, b: str) -> DataFrame:
+    """(keys, a, b, winner): mean scores of two labels; a missing one counts as 0, and a tie goes to the first."""
+    of = lambda v: F.avg(F.when(F.col(label) == v, F.col(score)))
+    both = df.where(F.col(label).isin(a, b)).groupBy(*keys).agg(of(a).alias("a"), of(b).alias("b"))
+    return both.withColumn("winner", F.when(F.coalesce("a", F.lit(0.0)) >= F.coalesce("b", F.lit(0.0)), F.lit(a)).otherwise(F.lit(b)))
+
+
+def average_scores(df: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """(keys, score, n): the mean of each prompt's runs of an evaluation, for gate()."""
+    return df.groupBy(*keys).agg(F.avg(score).alias("score"), F.count("*").alias("n"))
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """The values of a column that there are, sorted."""
+    return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
 def delete_keys(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return df.join(gone.select(key).distinct(), key, "left_anti")

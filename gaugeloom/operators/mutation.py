@@ -184,6 +184,14 @@ def calibration_mutants(text: Column) -> Column:
     return F.array(*[F.struct(F.lit(kind).alias("kind"), made[kind].alias("text")) for kind, *_ in CALIBRATION])
 
 
+def content_blocks(content: Column) -> Column:
+    """The texts of a message's content: itself, or, of a JSON list of blocks, those of its text blocks."""
+    blocks = F.from_json(content, "array<struct<type:string,text:string>>")
+    listed = F.startswith(F.ltrim(content), F.lit("[{")) & F.try_parse_json(content).isNotNull()
+    return F.when(listed, F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"])).otherwise(F.array(content))
+
+
 def flatten_messages(messages: Column) -> Column:
-    """A prompt of an array of (role, content): `[ROLE] content`, a blank line between."""
-    return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("["), F.upper(m["role"]), F.lit("] "), m["content"])), "\n\n")
+    """A prompt of an array of (role, content): `[ROLE] text` for each text of a content, a blank line between."""
+    of = lambda m: F.transform(content_blocks(m["content"]), lambda t: F.concat(F.lit("["), F.upper(m["role"]), F.lit("] "), t))
+    return F.array_join(F.flatten(F.transform(messages, of)), "\n\n")

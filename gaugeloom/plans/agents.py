@@ -10,7 +10,9 @@ from gaugeloom.functions import verdicts
 from gaugeloom.operators import livelock, patrol, similarity, trim
 
 TIER = "LOW"
-TASK, MILESTONES = ["view", "click", "purchase"], ["purchase"]
+TASK, MILESTONES = ["view", "v0"], ["purchase"]
+#: Values of an event that one word stands for.
+VALUES = 40
 LEVELS = (0.1, 0.3, 0.5, 0.7, 0.9)
 
 
@@ -127,9 +129,14 @@ best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY conv_id ORDE
 )
 
 
+def event_words():
+    """An event as words: its type, a word for its value, and one that all events share."""
+    return F.concat(F.col("event_type"), F.lit(" v"), F.floor(F.col("value") / VALUES).cast("string"), F.lit(" event"))
+
+
 def event_tokens(spark: SparkSession, sf: str) -> DataFrame:
     e = _read(spark, sf, "events").withColumn("step", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    return e.select("user_id", "step", X.token_set(F.col("event_type")).alias("tokens"))
+    return e.select("user_id", "step", X.token_set(event_words()).alias("tokens"))
 
 
 def patrol_reports(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,13 +164,13 @@ def jaccard_consecutive(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PATROL = r"""
-ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, list_distinct(regexp_extract_all(lower(event_type), '[\p{L}\p{N}_]+')) AS t FROM events),
+ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, list_distinct(regexp_extract_all(lower(event_type || ' v' || floor(value / 40)::BIGINT || ' event'), '[\p{L}\p{N}_]+')) AS t FROM events),
 lg AS (SELECT user_id, n, t, lag(t, 1) OVER w AS b1, lag(t, 2) OVER w AS b2, lag(t, 3) OVER w AS b3 FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY n)),
 sm AS (SELECT *,
   len(list_intersect(t, b1))::DOUBLE / len(list_distinct(list_concat(t, b1))) AS s1,
   len(list_intersect(t, b2))::DOUBLE / len(list_distinct(list_concat(t, b2))) AS s2,
   len(list_intersect(t, b3))::DOUBLE / len(list_distinct(list_concat(t, b3))) AS s3,
-  len(list_intersect(t, ['view', 'click', 'purchase']))::DOUBLE / len(list_distinct(list_concat(t, ['view', 'click', 'purchase']))) AS task,
+  len(list_intersect(t, ['view', 'v0']))::DOUBLE / len(list_distinct(list_concat(t, ['view', 'v0']))) AS task,
   CASE WHEN list_contains(list_concat(t, coalesce(b1, []), coalesce(b2, []), coalesce(b3, [])), 'purchase') THEN 1.0 ELSE 0.0 END AS overlap FROM lg),
 ft AS (SELECT *,
   CASE WHEN n >= 4 THEN (s1 + lag(s1, 1) OVER w + lag(s1, 2) OVER w + s2 + lag(s2, 1) OVER w + s3) / 6 END AS simil,

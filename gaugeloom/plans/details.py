@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeloom.functions import text as X
-from gaugeloom.operators import ledger, livelock, parsing, scoring, similarity, trim
+from gaugeloom.operators import ledger, livelock, mutation, parsing, scoring, similarity, trim
+from gaugeloom.sources import scans
 
 from . import agents, ledgers
 from .ledgers import AS_OF, _read, _sql_list, events
@@ -83,7 +84,38 @@ def message_budget(spark: SparkSession, sf: str) -> DataFrame:
     return trim.budget(_read(spark, sf, "conversations"), "conv_id", "role", "text", agents.MOST)
 
 
-QUERIES = {f.__name__: f for f in (pass_rate_days, recent_violations, trim_history, fidelity_report, contract_structural, parity_explanations, intent_subjects, hunk_summaries, fine_fill_levels, livelock_advice, short_texts, message_budget)}
+def unicode_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    """Cosine of the counts of words in any script, of each assistant turn and the one before it."""
+    sims = similarity.versus(agents.fidelity_input(spark, sf), ["conv_id", "turn"], "text", "suppressed", pattern=X.UNICODE_WORD)
+    return sims.select("conv_id", "turn", F.round("similarity_counts", 6).alias("cosine"))
+
+
+def message_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as prompts; the content of odd turns comes as a list of blocks."""
+    blocks = F.concat(F.lit('[{"type": "image", "url": "u"}, {"type": "text", "text": '), F.expr("substr(to_json(named_struct('t', text)), 6, length(to_json(named_struct('t', text))) - 6)"), F.lit("}]"))
+    c = _read(spark, sf, "conversations").withColumn("content", F.when(F.col("turn") % 2 == 1, blocks).otherwise(F.col("text")))
+    m = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("m"))
+    return m.select("conv_id", F.md5(mutation.flatten_messages(F.col("m"))).alias("digest"))
+
+
+def newest_first(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger.since(events(spark, sf).select("event_id", "user_id", "ts"), "ts", _as_of(), "7 DAYS", 25).select("event_id", "user_id")
+
+
+PATTERNS = ["src1/**/*.txt", "src?/en/1*.txt", "**/7?.txt"]
+
+
+def matching_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The files of changes that a prompt's patterns name."""
+    paths = _read(spark, sf, "documents").select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    return scans.matching_files(paths, "path", PATTERNS)
+
+
+def short_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "documents").select("doc_id", *[X.fingerprint(F.col("text"), kind).alias(kind) for kind in ("sha256", "md5", "sha1")])
+
+
+QUERIES = {f.__name__: f for f in (matching_files, short_hashes, unicode_cosine, message_blocks, newest_first, pass_rate_days, recent_violations, trim_history, fidelity_report, contract_structural, parity_explanations, intent_subjects, hunk_summaries, fine_fill_levels, livelock_advice, short_texts, message_budget)}
 
 _B = ledgers._BLANK
 
@@ -103,6 +135,11 @@ def _dimension(r: str) -> str:
 
 _FIDELITY_ROWS = agents.ORACLES["fidelity_pairs"]
 ORACLES = {
+    "matching_files": r"WITH p AS (SELECT concat_ws('/', source, lang, doc_id || '.txt') AS path FROM documents) SELECT DISTINCT path FROM p WHERE regexp_matches(path, '^src1/(.*/)?[^/]*\.txt$') OR regexp_matches(path, '^src[^/]/en/1[^/]*\.txt$') OR regexp_matches(path, '^(.*/)?7[^/]\.txt$')",
+    "short_hashes": "SELECT doc_id, left(sha256(text), 16) AS sha256, left(md5(text), 16) AS md5, left(sha1(text), 8) AS sha1 FROM documents",
+    "unicode_cosine": f"WITH {agents._FIDELITY}, {agents._VERSUS.replace('[a-z0-9]+', '[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]+')} SELECT conv_id, turn, round(counts, 6) AS cosine FROM sims",
+    "message_blocks": ledgers.ORACLES["flattened_messages"],
+    "newest_first": f"SELECT event_id, user_id FROM events WHERE ts > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAYS AND ts <= TIMESTAMP '{AS_OF}' ORDER BY ts DESC, event_id LIMIT 25",
     "pass_rate_days": f"SELECT user_id, round(avg((event_type <> 'error')::INT) FILTER (WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAYS AND ts <= TIMESTAMP '{AS_OF}'), 6) AS pass_rate, count(*) FILTER (WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAYS AND ts <= TIMESTAMP '{AS_OF}')::BIGINT AS n FROM events GROUP BY user_id",
     "recent_violations": f"WITH w AS (SELECT user_id, event_type = 'error' AS bad FROM events WHERE ts > TIMESTAMP '{AS_OF}' - INTERVAL {HOURS} HOURS AND ts <= TIMESTAMP '{AS_OF}'), s AS (SELECT user_id, count(*)::BIGINT AS n, avg(bad::INT) AS rate FROM w GROUP BY user_id) SELECT u.user_id, coalesce(n, 0)::BIGINT AS n, round(coalesce(rate, 0), 6)::DOUBLE AS rate FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN s ON s.user_id = u.user_id",
     "trim_history": f"WITH t AS ({agents.ORACLES['trim_stats']}), r AS (SELECT *, conv_id % 7 AS pipeline FROM t QUALIFY row_number() OVER (PARTITION BY conv_id % 7 ORDER BY conv_id DESC) <= 10) SELECT pipeline, count(*)::BIGINT AS total_runs, count_if(NOT fits)::BIGINT AS over_budget_runs, round(avg(trim_ratio), 4) AS avg_trim_ratio, round(avg(n_before - n_after), 2) AS avg_dropped_count FROM r GROUP BY pipeline",

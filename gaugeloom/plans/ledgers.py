@@ -66,7 +66,7 @@ def trailing_window(spark, sf):
 
 
 def distinct_specs(spark, sf):
-    return events(spark, sf).select("event_type").distinct().orderBy("event_type")
+    return ledger.distinct_values(events(spark, sf), "event_type")
 
 
 def _order():
@@ -84,9 +84,17 @@ def regression_gate(spark, sf):
     return ledger.gate(last.join(before, "user_id", "left"), "value", "baseline", "regression").select("user_id", "value", F.round("baseline", 6).alias("baseline"), "should_fail")
 
 
+def _average_gate(spark, sf, mode):
+    e = ledger.average_scores(events(spark, sf).withColumn("value", F.col("value") / 100), ["event_type"], "value")
+    return ledger.gate(e.withColumns({"score": F.round("score", 6), "baseline": F.lit(None).cast("double")}), "score", "baseline", mode, hard=0.5)
+
+
 def hard_gate(spark, sf):
-    e = events(spark, sf).groupBy("event_type").agg(F.round(F.avg("value") / 100, 6).alias("score")).withColumn("baseline", F.lit(None).cast("double"))
-    return ledger.gate(e, "score", "baseline", "hard", hard=0.5).select("event_type", "score", "should_fail")
+    return _average_gate(spark, sf, "hard").select("event_type", "score", "should_fail")
+
+
+def soft_gate(spark, sf):
+    return _average_gate(spark, sf, "soft").select("event_type", "n", "should_fail", "reason")
 
 
 def ledger_diff_commits(spark, sf):
@@ -251,8 +259,12 @@ def coherence_status(spark, sf):
 
 
 def label_budget_compare(spark, sf):
-    e = events(spark, sf).where("event_type IN ('click', 'view')")
-    return e.groupBy("user_id").agg(F.round(F.avg(F.when(F.col("event_type") == "click", F.col("value"))), 6).alias("a"), F.round(F.avg(F.when(F.col("event_type") == "view", F.col("value"))), 6).alias("b")).withColumn("winner", F.when(F.coalesce("a", F.lit(0.0)) >= F.coalesce("b", F.lit(0.0)), "click").otherwise("view"))
+    return ledger.side_by_side(events(spark, sf), ["user_id"], "event_type", "value", "click", "view").withColumns({c: F.round(c, 6) for c in ("a", "b")})
+
+
+def largest_changes(spark, sf):
+    """Labels whose attribution differs most between the vectors of even and odd ids."""
+    return ledger.largest_changes(attribution_compare(spark, sf).withColumn("delta", F.round("delta", 6)), 3, "label")
 
 
 def intent_clauses(spark, sf):
@@ -375,7 +387,7 @@ _CHANGED = "l AS (SELECT doc_id, source || '/' || doc_id || '.txt' AS name, i, [
 _PROMPTS = "t AS (SELECT conv_id || '-' || turn AS id, 'You are a Formal assistant.' || chr(10) || 'Never ' || replace(text, chr(10), ' ') || chr(10) || 'Always cite ' || role || '.' || chr(10) || 'If asked twice, be brief.' || chr(10) || text AS t FROM conversations)"
 
 QUERIES = {f.__name__: f for f in (
-    ledger_recent, latest_per_key, trailing_window, distinct_specs, ledger_baseline, regression_gate, hard_gate, ledger_diff_commits, contract_pass_rate, contract_list, contract_half_drift,
+    ledger_recent, latest_per_key, trailing_window, distinct_specs, ledger_baseline, regression_gate, hard_gate, soft_gate, largest_changes, ledger_diff_commits, contract_pass_rate, contract_list, contract_half_drift,
     fidelity_drift, spec_checks, spec_violation_rate, spec_field_rates, contract_score, judge_calibration, exact_match_eval, regex_eval, semantic_accuracy, task_completion, safety_compliance,
     edge_case_handling, instruction_adherence, parity_results, parity_dimensions, parity_certificate, embedding_cosine, attribution_scores, attribution_gate, attribution_compare, top_contributors,
     mutation_score, coherence_status, label_budget_compare, intent_clauses, diff_stats, diff_hunks, cot_steps, json_extract_score, phrase_swap, mutations_generate, calibration_mutants,
@@ -390,6 +402,7 @@ ORACLES = {
     "ledger_baseline": f"WITH {_EV} SELECT user_id, round(avg(value), 6) AS baseline FROM (SELECT * FROM e WHERE passed QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5) GROUP BY user_id",
     "regression_gate": f"WITH {_EV}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM e), b AS (SELECT user_id, avg(value) AS baseline FROM (SELECT * FROM r WHERE n > 1 AND passed QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n) <= 5) GROUP BY user_id) SELECT r.user_id, value, round(baseline, 6) AS baseline, coalesce(baseline - value > 0.05::DOUBLE, false) AS should_fail FROM r LEFT JOIN b USING (user_id) WHERE n = 1",
     "hard_gate": "SELECT event_type, round(avg(value) / 100, 6) AS score, round(avg(value) / 100, 6) < 0.5::DOUBLE AS should_fail FROM events GROUP BY event_type",
+    "soft_gate": "SELECT event_type, count(*)::BIGINT AS n, false AS should_fail, printf('score %.3f, warning only', round(avg(value / 100), 6)) AS reason FROM events GROUP BY event_type",
     "ledger_diff_commits": "WITH a AS (SELECT o_orderpriority, avg(o_totalprice) AS s FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL), b AS (SELECT o_orderpriority, avg(o_totalprice) AS s FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL) SELECT coalesce(a.o_orderpriority, b.o_orderpriority) AS o_orderpriority, round(a.s, 4) AS score_a, round(b.s, 4) AS score_b, round(b.s - a.s, 4) AS delta FROM a FULL JOIN b ON a.o_orderpriority = b.o_orderpriority",
     "contract_pass_rate": f"WITH {_EV} SELECT user_id, round(avg(passed::INT), 6) AS pass_rate, count(*)::BIGINT AS n FROM e GROUP BY user_id",
     "contract_list": f"WITH {_EV} SELECT user_id, event_type, count(*)::BIGINT AS total, count_if(passed)::BIGINT AS passed_count, max(ts)::VARCHAR AS last_seen, round(avg(passed::INT), 6) AS pass_rate FROM e GROUP BY user_id, event_type",
@@ -414,6 +427,7 @@ ORACLES = {
     "attribution_scores": f"WITH {_EMB}, a AS (SELECT label, count(*)::BIGINT AS runs, avg(similarity) AS m, stddev_pop(similarity) AS s FROM p GROUP BY label) SELECT label, runs, round(greatest(0.0, least(1.0, 1 - m)), 6)::DOUBLE AS score, round(m, 6) AS mean_similarity, round(s, 6) AS std_similarity FROM a",
     "attribution_gate": f"WITH {_EMB}, a AS (SELECT label, greatest(0.0, least(1.0, 1 - avg(similarity)))::DOUBLE AS s FROM p GROUP BY label), g AS (SELECT max(s) FILTER (WHERE label = 0) AS must, max(s) AS most, count_if(s >= 0.3::DOUBLE) AS many FROM a), v AS (SELECT list_filter([CASE WHEN coalesce(must < 0.3::DOUBLE, true) THEN '0 below 0.3' END, CASE WHEN most > 0.95::DOUBLE THEN 'a chunk above 0.95' END, CASE WHEN many < 2 THEN 'fewer than 2 contribute' END], lambda x: x IS NOT NULL) AS v FROM g) SELECT 1 AS trace, array_to_string(v, '; ') AS violations, len(v) = 0 AS passed FROM v",
     "attribution_compare": f"WITH {_EMB}, a AS (SELECT label, greatest(0.0, least(1.0, 1 - avg(similarity)))::DOUBLE AS s FROM p WHERE vec_id % 2 = 0 GROUP BY label), b AS (SELECT label, greatest(0.0, least(1.0, 1 - avg(similarity)))::DOUBLE AS s FROM p WHERE vec_id % 2 = 1 AND label > 0 GROUP BY label) SELECT coalesce(a.label, b.label) AS label, round(coalesce(a.s, 0), 6) AS score_a, round(coalesce(b.s, 0), 6) AS score_b, round(coalesce(b.s, 0) - coalesce(a.s, 0), 6) AS delta FROM a FULL JOIN b ON a.label = b.label",
+    "largest_changes": f"WITH {_EMB}, a AS (SELECT label, greatest(0.0, least(1.0, 1 - avg(similarity)))::DOUBLE AS s FROM p WHERE vec_id % 2 = 0 GROUP BY label), b AS (SELECT label, greatest(0.0, least(1.0, 1 - avg(similarity)))::DOUBLE AS s FROM p WHERE vec_id % 2 = 1 AND label > 0 GROUP BY label), c AS (SELECT coalesce(a.label, b.label) AS label, round(coalesce(a.s, 0), 6) AS score_a, round(coalesce(b.s, 0), 6) AS score_b, round(coalesce(b.s, 0) - coalesce(a.s, 0), 6) AS delta FROM a FULL JOIN b ON a.label = b.label) SELECT * FROM c ORDER BY abs(delta) DESC, label LIMIT 3",
     "top_contributors": f"WITH {_EMB}, s AS (SELECT label, vec_id, round(1 - similarity, 6) AS score FROM p) SELECT label, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 3",
     "mutation_score": "WITH g AS (SELECT user_id, event_type, median(value / 100) AS m FROM events GROUP BY ALL), v AS (SELECT user_id, CASE WHEN event_type = 'error' THEN 'S' WHEN round(0.6::DOUBLE - m, 9) >= 0.15::DOUBLE THEN 'K' ELSE 'L' END AS v FROM g), c AS (SELECT user_id, count_if(v = 'K')::BIGINT AS killed, count_if(v = 'L')::BIGINT AS survived, count_if(v = 'S')::BIGINT AS skipped FROM v GROUP BY user_id), s AS (SELECT *, CASE WHEN killed + survived > 0 THEN killed::DOUBLE / (killed + survived) ELSE 0 END AS s FROM c) SELECT user_id, killed, survived, skipped, round(s, 6) AS score, CASE WHEN s >= 0.9::DOUBLE THEN 'STRONG' WHEN s >= 0.8::DOUBLE THEN 'ADEQUATE' WHEN s >= 0.7::DOUBLE THEN 'MARGINAL' WHEN s >= 0.6::DOUBLE THEN 'WEAK' ELSE 'DANGEROUS' END AS verdict FROM s",
     "coherence_status": "WITH d AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS d1, l_tax * 12 AS d2, l_quantity / 50 AS d3, 0.75::DOUBLE AS d4, CASE WHEN l_linenumber > 2 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS d5 FROM lineitem), m AS (SELECT *, (d1 + d2 + d3 + d4 + d5) / 5 AS mean FROM d), s AS (SELECT *, CASE WHEN abs(mean - 0.7::DOUBLE) > 0.15::DOUBLE THEN mean ELSE 0.7::DOUBLE END AS s FROM m) SELECT l_orderkey, l_linenumber, round(s, 6) AS score, CASE WHEN s >= 0.8::DOUBLE THEN 'COHERENT' WHEN s >= 0.55::DOUBLE THEN 'DEGRADED' ELSE 'INCOHERENT' END AS status, ((d1 >= 0.7::DOUBLE)::INT + (d2 >= 0.7::DOUBLE)::INT + (d3 >= 0.7::DOUBLE)::INT + (d4 >= 0.7::DOUBLE)::INT + (d5 >= 0.7::DOUBLE)::INT)::BIGINT AS n_passed FROM s",

@@ -69,7 +69,7 @@ def _failed() -> Column:
 
 
 def stream_patrol(spark: SparkSession, sf: str) -> DataFrame:
-    e = _events(spark, sf).select("user_id", "step", "ts", X.token_set(F.col("event_type")).alias("tokens"), "_arrival")
+    e = _events(spark, sf).select("user_id", "step", "ts", X.token_set(agents.event_words()).alias("tokens"), "_arrival")
     run = lambda s, out, at: state.into_folder(streams.patrol(s, "user_id", "step", "tokens", "ts", TASK, MILESTONES, idle="3650 days"), out, at, "append")
     return arriving(e, "_arrival", run).drop("batch").withColumn("confidence", F.round("confidence", 6))
 

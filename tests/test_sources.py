@@ -67,6 +67,7 @@ def test_scans(spark, tmp_path):
     assert [r.output for r in scans.step_traces(spark, str(tmp_path / "t.json")).orderBy("step").collect()] == ["one", "two"]
     (tmp_path / "l.txt").write_text(" a \n\n b\n")
     assert sorted(r.output for r in scans.output_lines(spark, str(tmp_path / "l.txt")).collect()) == ["a", "b"]
+    assert {(r.name.rsplit("/", 1)[-1], r.text) for r in scans.whole_texts(spark, str(tmp_path / "*.txt")).collect()} == {("l.txt", " a \n\n b\n")}
     files = spark.createDataFrame([("prompts/a.txt",), ("prompts/x/b.txt",), ("src/c.py",), ("prompts/a.txt",)], "p string")
     assert {r.p for r in scans.matching_files(files, "p", ["prompts/**/*.txt"]).collect()} == {"prompts/a.txt", "prompts/x/b.txt"}
 

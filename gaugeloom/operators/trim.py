@@ -125,7 +125,8 @@ def paragraphs(text: Column, separator: str = r"\n{2,}") -> Column:
 
 
 def _fold(order: Column, space: int, stop: bool) -> Column:
-    """Greedy by characters: (index, length) in order; joined paragraphs have two characters between them."""
+    """Greedy by characters: (index, length) in order; joined paragraphs have two characters between them.  What is kept, and so what a
+    step may copy, is bounded by the space, not by how many paragraphs there are: each takes three characters at least."""
     start = F.struct(F.lit(0).alias("used"), F.lit(True).alias("going"), F.array().cast("array<int>").alias("kept"))
     more = lambda z, e: z["used"] + e["length"] + F.when(F.size(z["kept"]) > 0, 2).otherwise(0)
     fits = lambda z, e: z["going"] & (F.floor((more(z, e) + 3) / 4) <= space)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeloom.functions import text as X
-from gaugeloom.operators import ledger, livelock, mutation, parsing, scoring, similarity, trim
+from gaugeloom.operators import evaluation, ledger, livelock, mutation, parsing, scoring, similarity, trim
 from gaugeloom.sources import scans
 
 from . import agents, ledgers
@@ -102,6 +102,37 @@ def newest_first(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.since(events(spark, sf).select("event_id", "user_id", "ts"), "ts", _as_of(), "7 DAYS", 25).select("event_id", "user_id")
 
 
+#: Words that a prompt of a role's suite must hold.
+SUITES = {"user": ["Never", "Formal"], "assistant": ["Always", "brief"], "system": ["Never", "Always", "Formal", "brief"]}
+
+
+def share_of_words(prompt: str, cases: list[dict]) -> float:
+    """An evaluator: the share of a suite's words that a prompt holds."""
+    return sum(c["word"] in prompt for c in cases) / len(cases) if cases else 0.0
+
+
+def _suite_prompts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Prompts with the role whose suite they are held against, and the suites of the roles that there are."""
+    roles = _read(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("suite"))
+    words = F.create_map(*[x for role, ws in SUITES.items() for x in (F.lit(role), F.array(*map(F.lit, ws)))])
+    cases = roles.select("suite").distinct().select("suite", F.posexplode(F.element_at(words, F.col("suite"))).alias("n", "word"))
+    return ledgers.prompts(spark, sf).join(roles, "id"), cases
+
+
+def prompt_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    prompts, cases = _suite_prompts(spark, sf)
+    out = evaluation.calibrate(prompts, cases, "suite", "id", "t", share_of_words, order="n")
+    return out.select("id", F.round("calibration_score", 6).alias("calibration_score"), "total", "caught", "missed", F.md5(F.array_join("warnings", "|")).alias("warnings"))
+
+
+def mutation_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Mutants of each prompt, run against its suite."""
+    prompts, cases = _suite_prompts(spark, sf)
+    runs = evaluation.run_mutants(prompts, mutation.generate(prompts, "id", "t"), cases, "suite", "id", "t", "mutated", share_of_words, order="n", runs=1)
+    out = evaluation.mutation_report(runs, "id")
+    return out.select("id", "total", "killed", "survived", "skipped", F.round("score", 6).alias("score"), "verdict", F.md5(F.array_join("recommendations", "|")).alias("recommendations"))
+
+
 PATTERNS = ["src1/**/*.txt", "src?/en/1*.txt", "**/7?.txt"]
 
 
@@ -115,7 +146,7 @@ def short_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf, "documents").select("doc_id", *[X.fingerprint(F.col("text"), kind).alias(kind) for kind in ("sha256", "md5", "sha1")])
 
 
-QUERIES = {f.__name__: f for f in (matching_files, short_hashes, unicode_cosine, message_blocks, newest_first, pass_rate_days, recent_violations, trim_history, fidelity_report, contract_structural, parity_explanations, intent_subjects, hunk_summaries, fine_fill_levels, livelock_advice, short_texts, message_budget)}
+QUERIES = {f.__name__: f for f in (prompt_calibration, mutation_reports, matching_files, short_hashes, unicode_cosine, message_blocks, newest_first, pass_rate_days, recent_violations, trim_history, fidelity_report, contract_structural, parity_explanations, intent_subjects, hunk_summaries, fine_fill_levels, livelock_advice, short_texts, message_budget)}
 
 _B = ledgers._BLANK
 
@@ -134,7 +165,12 @@ def _dimension(r: str) -> str:
 
 
 _FIDELITY_ROWS = agents.ORACLES["fidelity_pairs"]
+_HOLDS = "len(list_filter(ws, lambda w: contains({0}, w)))::DOUBLE / len(ws)"
+_WARNED = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{a.replace(chr(39), chr(39) * 2)}'" for k, severity, _, a in mutation.CALIBRATION if severity == "HIGH") + " END"
 ORACLES = {
+    "prompt_calibration": f"""{ledgers.ORACLES['calibration_mutants'].replace("SELECT id, made.k AS kind, md5(CASE WHEN made.t = '' THEN t ELSE made.t END) AS digest FROM m", "")}, e AS (SELECT m.id, made.k AS kind, t, CASE WHEN made.t = '' THEN t ELSE made.t END AS mutant, CASE role WHEN 'user' THEN {SUITES['user']} WHEN 'assistant' THEN {SUITES['assistant']} WHEN 'system' THEN {SUITES['system']} END AS ws FROM m JOIN (SELECT conv_id || '-' || turn AS id, role FROM conversations) r ON r.id = m.id),
+s AS (SELECT id, kind, {_HOLDS.format('t')} - {_HOLDS.format('mutant')} >= 0.15::DOUBLE AS caught FROM e WHERE mutant <> t)
+SELECT id, round(avg(caught::INT), 6) AS calibration_score, count(*)::BIGINT AS total, count_if(caught)::BIGINT AS caught, count_if(NOT caught)::BIGINT AS missed, md5(coalesce(string_agg({_WARNED}, '|' ORDER BY kind) FILTER (WHERE NOT caught AND {_WARNED} IS NOT NULL), '')) AS warnings FROM s GROUP BY id""",
     "matching_files": r"WITH p AS (SELECT concat_ws('/', source, lang, doc_id || '.txt') AS path FROM documents) SELECT DISTINCT path FROM p WHERE regexp_matches(path, '^src1/(.*/)?[^/]*\.txt$') OR regexp_matches(path, '^src[^/]/en/1[^/]*\.txt$') OR regexp_matches(path, '^(.*/)?7[^/]\.txt$')",
     "short_hashes": "SELECT doc_id, left(sha256(text), 16) AS sha256, left(md5(text), 16) AS md5, left(sha1(text), 8) AS sha1 FROM documents",
     "unicode_cosine": f"WITH {agents._FIDELITY}, {agents._VERSUS.replace('[a-z0-9]+', '[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]+')} SELECT conv_id, turn, round(counts, 6) AS cosine FROM sims",

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,18 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextlib.contextmanager
+def _state_partitions(spark: SparkSession) -> Iterator[None]:
+    """No more partitions of state than twice the cores: each is a store of its own, opened and committed by every micro-batch."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), 2 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def arriving(df: DataFrame, arrival: str, run: Callable[[DataFrame, str, str], object]) -> DataFrame:
     """What run(stream, out, checkpoint) writes under out when df's rows arrive one value of `arrival` after the other, with the number of the
     micro-batch.  The input and the checkpoint are removed."""
@@ -42,7 +55,8 @@ def arriving(df: DataFrame, arrival: str, run: Callable[[DataFrame, str, str], o
     for i in range(ARRIVALS):
         part = spark.read.parquet(f"{to}/all").where(F.col(arrival) == i).select(*rows.columns)
         part.write.mode("append").parquet(f"{to}/in")
-        run(streams.from_files(spark, f"{to}/in", rows.schema, 1_000_000), f"{to}/out", f"{to}/state").awaitTermination()
+        with _state_partitions(spark):
+            run(streams.from_files(spark, f"{to}/in", rows.schema, 1_000_000), f"{to}/out", f"{to}/state").awaitTermination()
     for name in ("all", "in", "state"):
         _remove(spark, f"{to}/{name}")
     return spark.read.option("basePath", f"{to}/out").parquet(f"{to}/out/batch=*")

@@ -436,6 +436,11 @@ ORACLES = {
       SELECT doc_id, n::BIGINT AS n, md5(clause) AS clause, CASE {' '.join(f"WHEN regexp_matches(clause, '{p.replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, p in parsing.INTENTS)} ELSE 'modifies' END AS kind FROM u""",
     "diff_stats": f"WITH {_CHANGED} SELECT doc_id, any_value(name) AS files, count_if(starts_with(l, '+') AND NOT starts_with(l, '+++'))::BIGINT AS added, count_if(starts_with(l, '-') AND NOT starts_with(l, '---'))::BIGINT AS removed FROM l GROUP BY doc_id",
     "diff_hunks": f"WITH {_CHANGED}, h AS (SELECT doc_id, (i - 1) // 10 + 1 AS hunk, any_value(name) AS file, count_if(starts_with(l, '+') AND NOT starts_with(l, '+++'))::BIGINT AS added, count_if(starts_with(l, '-') AND NOT starts_with(l, '---'))::BIGINT AS removed FROM l GROUP BY ALL) SELECT doc_id, hunk::BIGINT AS hunk, file, added, removed, added > 0 AND removed = 0 AS pure_addition, removed > 0 AND added = 0 AS pure_removal FROM h",
+    "cot_steps": f"""WITH r AS (SELECT doc_id, trim(text, {_BLANK}) AS raw FROM documents),
+p AS (SELECT doc_id, raw, regexp_split_to_array(raw, '{parsing.NUMBERED}') AS n, list_filter(list_transform(regexp_split_to_array(raw, '\\n\\n+'), lambda x: trim(x, {_BLANK})), lambda x: x <> '') AS b, string_split(regexp_replace(raw, '{parsing.CONNECTORS.replace("(?=(?:", "((?:")}', chr(1) || '\\1', 'g'), chr(1)) AS w FROM r),
+c AS (SELECT doc_id, CASE WHEN len(n) > 1 THEN n WHEN len(b) > 1 THEN b WHEN len(w) > 1 THEN w ELSE [raw] END AS xs, len(n) > 1 OR (len(b) <= 1 AND len(w) > 1) AS long FROM p),
+u AS (SELECT doc_id, i - 1 AS index, trim(xs[i], {_BLANK}) AS t, long FROM c, unnest(generate_series(1, len(xs))) AS q(i))
+SELECT doc_id, index::INTEGER AS index, md5(t) AS digest FROM u WHERE NOT long OR length(t) > 5""",
     "json_extract_score": "WITH k AS (SELECT conv_id, turn, (turn + conv_id) % 5 AS k FROM conversations) SELECT conv_id, turn, CASE k WHEN 1 THEN 2.0::DOUBLE / 3 WHEN 2 THEN 0.5::DOUBLE WHEN 3 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS score, CASE WHEN k = 3 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS valid FROM k",
     "phrase_swap": rf"WITH {_PROMPTS} SELECT id, md5('You are a Casual assistant' || t[27:]) AS swapped, md5(regexp_replace(t, '\bbrief\b', 'detailed')) AS swapped2 FROM t",
     "calibration_mutants": rf"""WITH {_PROMPTS}, m AS (SELECT id, t, unnest([{{'k': 'generic', 't': '{mutation.GENERIC}'}}, {', '.join(f"{{'k': '{k}', 't': trim(regexp_replace(regexp_replace(t, '(?m)^[ \t]*(?:{p.replace(chr(39), chr(39) * 2)})\s+.+[.!]?\s*$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {_BLANK})}}" for k, p in mutation.STRIPPED.items())},

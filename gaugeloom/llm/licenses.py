@@ -166,10 +166,12 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: li
 
     cut = docs.select(key, F.xxhash64(F.col(text).cast("string")).alias("mark"), passages_of(F.col(text), begins).alias("passages"))
     lines = F.size(F.filter(F.split(F.array_join("passages", "\n"), "\n"), lambda x: x != "")).cast("bigint")
-    each = cut.select(key, "mark", lines.alias("n_sentences"), F.posexplode(F.concat(F.array(F.lit(_FIRST)), "passages")).alias("at", "passage"))
+    # counted before the passages become rows, which else would each carry all of them
+    counted = cut.withColumns({"n_sentences": lines, "passages": F.concat(F.array(F.lit(_FIRST)), "passages")})
+    each = counted.select(key, "mark", "n_sentences", F.posexplode_outer("passages").alias("at", "passage"))  # never empty; outer, as Spark would else work passages out once more to see that
     of_lines = F.filter(F.transform(F.split("passage", "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("normal"))), lambda x: x["normal"] != "")
     over_lines = F.array(F.struct(F.lit(0).alias("line"), F.translate("passage", "\n", " ").alias("normal")))
-    tried = each.select(key, "mark", "n_sentences", "at", F.inline(F.when(F.contains("passage", F.lit("\n")), F.concat(over_lines, of_lines)).otherwise(over_lines)))
+    tried = each.withColumn("tried", F.when(F.contains("passage", F.lit("\n")), F.concat(over_lines, of_lines)).otherwise(over_lines)).select(key, "mark", "n_sentences", "at", F.inline_outer("tried"))
     hit = tried.join(F.broadcast(whole), "normal")  # SENTENCES has a fixed number of rows
     per_doc = hit.groupBy(key, "mark", "n_sentences").agg(F.count_if(F.col("id") == "").alias("copies"), F.array_sort(F.collect_set(F.when(F.col("id") != "", F.struct("at", "line", "id")))).alias("found"))
     wholly = F.transform(F.filter("found", lambda x: x["line"] == 0), lambda x: x["at"])

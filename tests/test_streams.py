@@ -162,3 +162,66 @@ def test_trailing_windows_count_deliveries_once(spark, tmp_path):
 def test_reports_of_streams_have_their_columns(spark):
     out = streams.violation_rates(spark.readStream.format("rate").load().withColumn("ok", F.lit(True)), "timestamp", ["value"], "ok", "1 hour", "10 minutes")
     assert out.columns == ["window", "value", "n", "rate", "severity"]
+
+
+class Counted:
+    """A state variable that counts how often it is asked or told."""
+
+    def __init__(self):
+        self.calls, self.value, self.map = 0, None, {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "update":
+                self.value = args[0]
+            elif name == "clear":
+                self.value = None
+            elif name == "updateValue":
+                self.map[args[0]] = args[1]
+            return {"get": self.value, "exists": self.value is not None, "iterator": iter(self.map.items())}.get(name)
+
+        return call
+
+
+class Handle(Counted):
+    def __init__(self):
+        super().__init__()
+        self.made = []
+
+    def getValueState(self, *_):  # noqa: N802
+        self.made.append(Counted())
+        return self.made[-1]
+
+    getMapState = getValueState  # noqa: N815
+
+
+def test_calls_to_state_do_not_grow_with_a_batch():
+    import pandas as pd
+
+    def calls(make, rows):
+        processor, handle = make(), Handle()
+        processor.init(handle)
+        for part in (rows[: len(rows) // 2], rows[len(rows) // 2 :]):
+            list(processor.handleInputRows(("a",), iter([part]), None))
+        return handle.calls + sum(x.calls for x in handle.made)
+
+    def rows(n):
+        ts = pd.to_datetime("2024-01-01") + pd.to_timedelta(range(n), unit="h")
+        return pd.DataFrame({"row_op": "step", "row_step": [float(i + 1) for i in range(n)], "row_progress": 0.5, "row_ts": ts, "row_seq": range(n), "row_failed": [["x"]] * n})
+
+    gate = lambda: state.RunGate(0.05, 5, 0.15, 0.05, 1, None, 1000, True, ["run", "event", "step", *state.REPORT.replace(" bigint", "").replace(" double", "").replace(" boolean", "").replace(" string", "").split(", ")])
+    first = lambda: state.FirstField({"x": 0.2}, 3_600_000, 48, ["a", "seq", "field", "rate", "field_rate", "threshold", "n"])
+    for make in (gate, first):
+        assert calls(make, rows(200)) == calls(make, rows(20))
+
+
+def test_mean_progress_is_the_mean_of_the_deltas():
+    import pandas as pd
+
+    processor = state.RunGate(0.05, 5, 0.15, 0.05, 1, None, 1000, True, ["run", "event", "step", *[x.split(" ")[0] for x in state.REPORT.split(", ")]])
+    processor.init(Handle())
+    progress = [0.1, 0.7, 0.3, 0.9]
+    rows = pd.DataFrame({"row_op": "step", "row_step": [1.0, 2.0, 3.0, 4.0], "row_progress": progress, "row_ts": pd.to_datetime("2024-01-01") + pd.to_timedelta(range(4), unit="h")})
+    (out,) = processor.handleInputRows(("a",), iter([rows]), None)
+    assert out["mean_progress"].tolist() == [sum(b - a for a, b in zip([0.0, *progress], progress)) / 4] * len(out)

@@ -153,7 +153,9 @@ def exact_match_eval(spark, sf):
 
 
 def regex_eval(spark, sf):
-    return _read(spark, sf, "documents").select("doc_id", F.col("text").rlike(r"(?s)the.*ing.*\n").alias("passed"))
+    """The nearest of each part is as good as any: possessive parts from the text's beginning read it once, where a search for
+    `(?s)the.*ing.*\\n` in a text without a match tries each pair of its words."""
+    return _read(spark, sf, "documents").select("doc_id", F.col("text").rlike(r"(?s)\A(?>.*?the)(?>.*?ing)(?>.*?\n)").alias("passed"))
 
 
 def semantic_accuracy(spark, sf):

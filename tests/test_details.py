@@ -128,3 +128,18 @@ def test_calibration_warnings_keep_the_order_of_cases(spark):
     cases = spark.createDataFrame(rows, "p int, at int, o double, m double, changed boolean, severity string, advice string, error string")
     got = gates.calibration(cases, ["p"], "o", "m", F.col("changed"), "severity", "advice", order="at", error="error").first()
     assert got.warnings == ["z", "Calibration case 'y' failed: gone", "a"] and (got.total, got.caught, got.missed, got.calibration_score) == (4, 1, 3, 0.25)
+
+
+def test_regex_eval_reads_a_text_once(spark, tmp_path):
+    import re
+    import time
+
+    from gaugeloom.plans import ledgers
+
+    texts = ["the thing\n", "\nthe thing", "ing the\n", "theing\n", "th\neing\n", "", None, "the sing song\nthe", "thethe ing ing \n\n"]
+    rows = [*enumerate(texts), (99, "the ing " * 4000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.monotonic()
+    got = {r.doc_id: r.passed for r in ledgers.regex_eval(spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else bool(re.search(r"(?s)the.*ing.*\n", t)) if i != 99 else False for i, t in rows}
+    assert time.monotonic() - began < 20

@@ -93,8 +93,9 @@ def patrol(df: DataFrame, run: str, step: str, tokens: str, ts: str, task: list[
             return
         n, sets, early = state.get if state.exists else (0, "[]", "[]")
         sets, early, out = [set(x) for x in json.loads(sets)], json.loads(early), []
-        rows = pd.concat(list(batches)).sort_values(step)
-        for s, words in rows[[step, tokens]].itertuples(index=False):
+        frames = list(batches)
+        rows = (frames[0] if len(frames) == 1 else pd.concat(frames)).sort_values(step)
+        for s, words in zip(rows[step].tolist(), rows[tokens].tolist(), strict=True):
             n += 1
             sets = [*sets, set(words)][-6:]
             if len(early) < 3:
@@ -103,7 +104,8 @@ def patrol(df: DataFrame, run: str, step: str, tokens: str, ts: str, task: list[
                 out.append((key[0], s, *got))
         state.update((n, json.dumps([sorted(x) for x in sets]), json.dumps(early)))
         state.setTimeoutTimestamp(max(int(rows["_ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(out, columns=[run, step, "pathology", "severity", "confidence"])
+        if out:
+            yield pd.DataFrame(out, columns=[run, step, "pathology", "severity", "confidence"])
 
     kinds = {c: df.schema[c].dataType.simpleString() for c in (run, step)}
     timed = df.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)

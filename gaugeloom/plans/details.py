@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeloom.functions import text as X
@@ -47,13 +47,18 @@ def contract_structural(spark: SparkSession, sf: str) -> DataFrame:
     return s.withColumn("score", F.round("score", 6))
 
 
+def _hundredths(c: str) -> Column:
+    """To two digits as SQL engines round a double, by its hundredfold; Spark rounds its shortest decimal form, in which 0.85 + 0.075 is below 0.925."""
+    return F.round(F.col(c) * 100) / 100
+
+
 def parity_explanations(spark: SparkSession, sf: str) -> DataFrame:
     """All seven dimensions, dealt out by id."""
     t = ledgers.templated(spark, sf).withColumn("dimension", ledgers._dealt("doc_id", list(scoring.DIMENSIONS)))
     test = {"constraints": F.col("constraints"), "required": F.lit(True), "golden": F.lit("the report and the ledger"), "refusal_expected": F.lit(False), "conclusion": F.lit("answer possibly"), "no_crash": F.lit(True)}
     of = lambda r: scoring.dimension_score(F.col("dimension"), F.col(r), test)
     scored = t.select("doc_id", "dimension", of("response").alias("b"), of("other").alias("c"))
-    return scored.select("doc_id", "dimension", F.round("b", 6).alias("baseline"), F.round("c", 6).alias("candidate"), scoring.parity_explanation(F.col("dimension"), F.round("b", 2), F.round("c", 2)).alias("explanation"))
+    return scored.select("doc_id", "dimension", F.round("b", 6).alias("baseline"), F.round("c", 6).alias("candidate"), scoring.parity_explanation(F.col("dimension"), _hundredths("b"), _hundredths("c")).alias("explanation"))
 
 
 def intent_subjects(spark: SparkSession, sf: str) -> DataFrame:

@@ -143,3 +143,11 @@ def test_regex_eval_reads_a_text_once(spark, tmp_path):
     got = {r.doc_id: r.passed for r in ledgers.regex_eval(spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else bool(re.search(r"(?s)the.*ing.*\n", t)) if i != 99 else False for i, t in rows}
     assert time.monotonic() - began < 20
+
+
+def test_a_score_halfway_between_two_hundredths_is_told_as_in_sql(spark, tmp_path):
+    from gaugeloom.plans import details
+
+    spark.createDataFrame([(47476, "x" * 18)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (got,) = details.parity_explanations(spark, str(tmp_path)).collect()  # "Short." and 18 letters: 25 of 50, 0.925
+    assert (got.dimension, got.candidate) == ("task_completion", 0.925) and "candidate=0.93 parity=0.93" in got.explanation

@@ -225,3 +225,11 @@ def test_mean_progress_is_the_mean_of_the_deltas():
     rows = pd.DataFrame({"row_op": "step", "row_step": [1.0, 2.0, 3.0, 4.0], "row_progress": progress, "row_ts": pd.to_datetime("2024-01-01") + pd.to_timedelta(range(4), unit="h")})
     (out,) = processor.handleInputRows(("a",), iter([rows]), None)
     assert out["mean_progress"].tolist() == [sum(b - a for a, b in zip([0.0, *progress], progress)) / 4] * len(out)
+
+
+def test_baseline_at_the_threshold_as_in_sql(spark, tmp_path):
+    cases = {"a": ([286.53, 440.01, 149.8, 282.86, 167.45], 165.33, False), "b": ([214.69, 233.45, 232.56, 29.68, 240.32], 90.14, True)}
+    rows = [(k, "exact", i, x, True) for k, (before, score, _) in cases.items() for i, x in enumerate([*before, score])]
+    build = lambda s: state.baseline_gate(s, ["prompt", "kind"], "score", "passed", "seq", drop=100.0)
+    got = {(r.prompt, r.seq): r.should_fail for r in drain(spark, tmp_path, SCORES, [[r for r in rows if r[2] < 3], [r for r in rows if r[2] >= 3]], build).collect()}
+    assert all(got[k, 5] == fail for k, (_, _, fail) in cases.items())

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import batches as B
 from .common import keep, table, whole_text
-from .tokens import default_vocabulary, encoder
+from .tokens import LETTERS, default_vocabulary, encoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -111,8 +111,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
     def run(batches):
         encode, end = encoder(vocabulary), np.array([end_id], np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part, _, _ in B.chunks(batch, text, LETTERS):
                 rows, numbers = [], []
                 for i, ids in enumerate(encode.encode(part.column(1).to_pylist())):
                     ids = np.concatenate([ids, end]).astype("<u4")
@@ -121,7 +120,6 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
                         rows.append((p, start, n, zlib.crc32(ids[start : start + n])))
                 p, start, n, crc = np.array(rows, np.int64).reshape(-1, 4).T
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(numbers, pa.int64())), pa.array(p, pa.int32()), pa.array(start), pa.array(n), pa.array(crc)], [key, "piece", "start", "length", "ids_crc32"])
-        encode.rest()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, whole_text(text).alias(text)).mapInArrow(B.giving_back(run), f"{key} {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")

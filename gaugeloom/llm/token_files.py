@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import batches as B
 from .common import fresh_path, keep, table, whole_text
-from .tokens import default_vocabulary, encoder
+from .tokens import LETTERS, default_vocabulary, encoder
 
 MAGIC = b"GLTOKEN1"
 BLOCK = 1 << 16
@@ -146,14 +146,12 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", v
         end, out, n_docs = np.array([end_id], np.uint32), None, 0
         encode = encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part, _, _ in B.chunks(batch, text, LETTERS):
                 for k, ids in zip(part.column(0).to_pylist(), encode.encode(part.column(1).to_pylist()), strict=True):
                     if out is None:
                         out, first = Writer(to, bits_for(max(encode.size, end_id + 1))), k
                     out.add(k, np.concatenate([ids, end]))
                     n_docs += 1
-        encode.rest()
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"first": pa.array([first], pa.int64()), "shard": pa.array([shard], pa.int32()), "path": [to], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([out.n], pa.int64())})

@@ -35,6 +35,16 @@ def test_encoder_with_special_tokens_and_little_memory(library, monkeypatch):
     assert [x.tolist() for x in small.encode(texts)] == want and [x.tolist() for x in small.encode(texts)] == want
 
 
+def test_each_distinct_word_is_encoded_once(library):
+    texts = ["one two, three. " * 40 + f"x{i % 3} \u00e9t\u00e9, \u6587." for i in range(600)] + [None, "", " a", "b ", "one\u2003 two", "x\x1c y"]
+    e = tokens.Encoder(tokens.default_vocabulary())
+    want, words = [library.encode(t or "", add_special_tokens=False).ids for t in texts], []
+    plain = e._encode_words
+    e._encode_words = lambda x: words.extend(x.to_pylist()) or plain(x)
+    assert [x.tolist() for x in e.encode(texts)] == want
+    assert len(words) == len(set(words)) < 20
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 12, 16, 17, 24, 31, 32])
 def test_bits_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001, dtype=np.uint64).astype(np.uint32)

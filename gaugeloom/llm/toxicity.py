@@ -97,6 +97,24 @@ def one(word: bytes, landmark: bytes) -> float:
     return float(kernel(np.frombuffer(word, np.uint8)[None], landmark)[0])
 
 
+def may_share(strings: np.ndarray, landmark: bytes) -> np.ndarray:
+    """Whether each row of letters has a subsequence of the kernel's order in common with the landmark: the kernel of others is 0.
+
+    The longest common subsequence by bit vectors: a bit for each place of the landmark, 0 where the length grows."""
+    m = len(landmark)
+    if m > 31:
+        return np.ones(len(strings), bool)
+    kind = np.uint16 if m < 16 else np.uint32
+    bits = np.zeros(256, kind)
+    for i, c in enumerate(landmark):
+        bits[c] |= kind(1 << i)
+    left = np.full(len(strings), (1 << m) - 1, kind)
+    for column in np.ascontiguousarray(strings.T):
+        met = left & bits[column]
+        left = (left + met) | (left - met)
+    return m - np.bitwise_count(left & kind((1 << m) - 1)).astype(np.int64) >= min(ORDER, m)
+
+
 def _least_letters(landmark: bytes) -> int:
     """How many different letters' bits a word has at least of the landmark's if their kernel isn't 0; the mark may be one match."""
     bits = _BIT[np.frombuffer(landmark.removeprefix(START), np.uint8)]
@@ -146,12 +164,8 @@ class Landmarks:
             begin = begin[source] + turn * (WORD // 2)
             size = np.minimum(WORD, at[:-1][source] + np.diff(at)[source] - begin)
             text, sentence, whole = text[source], sentence[source], np.where(turn == 0, whole[source], 0).astype(np.uint8)
-        order = np.argsort(begin, kind="stable") if long.any() else None
-        bits = _BIT[letters]
-        if order is None:
-            mask = np.bitwise_or.reduceat(bits, begin)
-        else:
-            mask = np.array([np.bitwise_or.reduce(bits[b : b + s]) for b, s in zip(begin, size, strict=True)], np.uint32)
+        bits = np.append(_BIT[letters], np.uint32(0))  # the places after it are ends of words
+        mask = np.bitwise_or.reduceat(bits, np.stack([begin, begin + size], 1).ravel())[::2]
         hashes = B.word_hashes(letters, begin, begin + size) ^ whole.astype(B.U)
         distinct, one_of, back = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
@@ -177,6 +191,7 @@ class Landmarks:
             strings = np.concatenate([whole[some, None], strings], 1)
             for k, m in enumerate(self.masks):
                 hit = np.flatnonzero(np.bitwise_count(mask[some] & m) >= self.least[k])
+                hit = hit[may_share(strings[hit], self.strings[k])]
                 if len(hit):
                     values[some[hit], k] = (kernel(strings[hit], self.strings[k]) * np.float32(self.unit[k])) ** POWER
         return values

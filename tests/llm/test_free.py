@@ -225,6 +225,19 @@ def test_words_with_a_masked_or_dropped_letter_have_their_kernel():
         assert (got[0] if len(got) else np.zeros(4)) == pytest.approx(want, rel=1e-4, abs=1e-6)
 
 
+def test_only_words_with_a_common_subsequence_reach_the_kernel(monkeypatch):
+    r, alphabet = random.Random(3), b"\x01abcdef"
+    for landmark in (b"\x01stupid", b"\x01abcab", b"abc", b"\x01" + b"abcdefgh" * 3, b"\x01" + b"abcdefgh" * 4):
+        strings = np.array([r.choices(alphabet + landmark, k=9) + [0] * 3 for _ in range(300)], np.uint8)
+        got, true = toxicity.may_share(strings, landmark), toxicity.kernel(strings, landmark) > 0
+        assert (got == true).all() or len(landmark) > 31 and got.all()
+    seen, kernel = [], toxicity.kernel
+    landmarks = toxicity.Landmarks([b"\x01stupid"])
+    monkeypatch.setattr(toxicity, "kernel", lambda strings, landmark: seen.append(len(strings)) or kernel(strings, landmark))
+    data = np.frombuffer(b"diputs dipust stupd", np.uint8)
+    assert len(landmarks.sentences(data, np.array([0, len(data)]))[1]) == 1 and sum(seen) == 1
+
+
 def test_toxicity(spark, hard, empty):
     random.seed(6)
     pool = [a + b + c for a in ("then", "wor", "ta", "mi") for b in ("el", "or", "u") for c in ("ing", "ly", "s")]
